@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, licenses
-from marketloom.llm.frames import pick
+from marketloom.llm import decontaminate, licenses, quality
+from marketloom.llm.frames import pick, split_rule
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return pick(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *columns)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learnt from labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), split_rule("doc_id", 5) != 0)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (split_rule("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document, windows of 13 words."""
     found = decontaminate.scan(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -62,7 +70,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -120,20 +120,27 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def token_classes() -> np.ndarray:
+    """0 for white space, 1 for letters, digits and non-ASCII bytes, 2 for other signs."""
+    kinds = np.full(256, 2, dtype=np.uint8)
+    kinds[list(SPACES)] = 0
+    for a, b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
+        kinds[a:b] = 1
+    return kinds
+
+
 def words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, lower: bool = True) -> Words:
-    """Splits every document of a buffer into words."""
+    """Splits every document of a buffer into maximal runs of bytes of one class; ``keep`` gives each byte's class, 0 for separators."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
     data = fold_table(lower)[data] if lower else data
-    mask = keep[data]
-    cut = np.zeros(n + 1, dtype=bool)
-    cut[offsets] = True
-    begins = mask.copy()
-    begins[1:] &= ~mask[:-1] | cut[1:n]
-    ends = mask.copy()
-    ends[:-1] &= ~mask[1:] | cut[1:n]
+    kind = keep.view(np.uint8)[data]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    edge[1:n] |= kind[1:] != kind[:-1]
+    begins, ends = edge[:n] & (kind > 0), edge[1:] & (kind > 0)
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
