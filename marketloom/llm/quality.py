@@ -1,8 +1,9 @@
 """Quality classifier: logistic regression over hashed word n-grams, learnt by follow-the-regularised-leader.
 
 Tokens are maximal runs of word characters or of other signs, case kept;
-features are their 1- and 2-grams hashed to 2**BITS slots, each with its share
-of the document's n-grams as value.  The bounded sample of labelled documents
+features are their 1- and 2-grams hashed to 2**BITS slots, and the 2- and
+3-grams that begin and end with one token, whichever it is, as one slot each;
+a feature's value is its share of the document's n-grams.  The bounded sample of labelled documents
 is dealt to a fixed number of shards; each shard learns its own weights by
 FTRL-proximal steps, and the model is their mean, so training is parallel and
 does not depend on the number of executors.  A score is one sparse dot
@@ -30,6 +31,8 @@ from marketloom.llm.words import buffers, slices, token_classes, windows, words
 BITS = 18
 SCALE = 16.0
 KINDS = token_classes()
+#: Slots of the 2-gram of one token twice, and of the 3-gram with one token around another.
+TWICE, AROUND = 1, 2
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,9 +41,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(offsets) - 1
     at, pairs = windows(w, 2)
     owner = w.doc()
-    slots = np.concatenate([w.hash, pairs]) >> np.uint64(64 - BITS)
-    docs = np.concatenate([owner, owner[at]])
-    return slots.astype(np.int64), docs, np.bincount(docs, minlength=n)
+    triples, _ = windows(w, 3)
+    twice, around = at[w.hash[at] == w.hash[at + 1]], triples[w.hash[triples] == w.hash[triples + 2]]
+    slots = np.concatenate([(np.concatenate([w.hash, pairs]) >> np.uint64(64 - BITS)).astype(np.int64), np.full(len(twice), TWICE), np.full(len(around), AROUND)])
+    docs = np.concatenate([owner, owner[at], owner[twice], owner[around]])
+    return slots, docs, np.bincount(docs, minlength=n)
 
 
 def _examples(batches):
