@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, licenses, quality
+from marketloom.llm import decontaminate, licenses, quality, toxicity
 from marketloom.llm.frames import pick, split_rule
 
 
@@ -30,6 +30,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", c["items"]), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity score of every document; learnt from labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), split_rule("doc_id", 4) != 2)
+    return model.score(docs).select("doc_id", (split_rule("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact license phrases and fuzzy short notices of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -70,7 +77,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op5_toxicity, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
