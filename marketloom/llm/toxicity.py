@@ -82,13 +82,13 @@ class Lexicon:
 
 
 def mine(rows: DataFrame, size: int = 512, least: int = 3) -> Lexicon:
-    """The terms with the largest z-score of their smoothed log-odds between toxic and other documents."""
+    """The terms whose smoothed log-odds between toxic and other documents are surely largest (two standard errors off)."""
     totals = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
     a, b = totals["bad"] + 1.0, totals["all"] - totals["bad"] + 1.0
     counts = rows.mapInArrow(_term_counts, "term bigint, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     p, q = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(p / (a - F.col("bad") + 0.5)) - F.log(q / (b - F.col("good") + 0.5))
-    best = counts.where(F.col("bad") >= least).withColumn("w", odds).withColumn("z", F.col("w") / F.sqrt(1 / p + 1 / q)).where("z > 2.5 and w > 1.5")
+    best = counts.where(F.col("bad") >= least).withColumn("w", odds).withColumn("z", F.col("w") - 2 * F.sqrt(1 / p + 1 / q)).where("z > 0.7")
     top = sorted((np.uint64(r.term & ((1 << 64) - 1)), r.w) for r in best.orderBy(F.desc("z"), "term").limit(size).collect())
     return Lexicon(np.array([k for k, _ in top], dtype=np.uint64), np.array([w for _, w in top]))
 
