@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, licenses, quality, toxicity
+from marketloom.llm import decontaminate, licenses, quality, toxicity, warc
 from marketloom.llm.frames import pick, split_rule
 
 
@@ -30,6 +30,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", c["items"]), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page into archives and reads all records back."""
+    records = warc.read(warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity score of every document; learnt from labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -76,9 +82,19 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
 
 
+OP4_SQL = """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
+t AS (SELECT payload_digest, max(page_id) AS target FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN target <> page_id THEN target END AS refers_to, TRUE AS verified
+FROM d LEFT JOIN t ON d.payload_digest = t.payload_digest AND d.payload_bytes >= 1000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op5_toxicity, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL}
