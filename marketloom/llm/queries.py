@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, licenses, quality, toxicity, warc
+from marketloom.llm import decontaminate, licenses, pieces, quality, toxicity, warc
 from marketloom.llm.frames import pick, split_rule
 
 
@@ -43,6 +43,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select("doc_id", (split_rule("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def tokenizer() -> str:
+    """Path of the public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text decoded from them, as digests."""
+    coded = pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact license phrases and fuzzy short notices of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -93,7 +106,7 @@ FROM d LEFT JOIN t ON d.payload_digest = t.payload_digest AND d.payload_bytes >=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op9_sentencepiece, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
