@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, licenses, pieces, quality, toxicity, warc
+from marketloom.llm import decontaminate, licenses, minhash, pieces, quality, toxicity, warc
 from marketloom.llm.frames import pick, split_rule
 
 
@@ -43,6 +43,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select("doc_id", (split_rule("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return minhash.link(table(spark, sf_dir, "documents", "doc_id", "text"), minhash.Rule(width=3, num=85))
+
+
 def tokenizer() -> str:
     """Path of the public vocabulary file."""
     import public_tokenizers
@@ -105,9 +110,28 @@ FROM d LEFT JOIN t ON d.payload_digest = t.payload_digest AND d.payload_bytes >=
 """
 
 
+SPACE_WORDS = rf"regexp_extract_all({ASCII_LOWER}, '[^\x20\x09-\x0D]+')"
+
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPACE_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+c AS (SELECT list_sort(g) AS g, min(doc_id) AS rep, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY ALL),
+t AS (SELECT rep, n, unnest(g) AS x FROM c),
+o AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+      FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep),
+e AS (SELECT a, b FROM o WHERE 100 * common >= 85 * (na + nb - common)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT rep AS node, rep AS other FROM c UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+r AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(root, s.doc_id) AS component_id, s.doc_id = coalesce(root, s.doc_id) AS kept
+FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN r ON r.node = c.rep
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op9_sentencepiece, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op6_minhash, op9_sentencepiece, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL, "op6_minhash": OP6_SQL}
