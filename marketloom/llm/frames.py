@@ -14,3 +14,13 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
 def split_rule(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo a number: the fixed split into folds (null ids: -1)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bits: int = 18) -> DataFrame:
+    """Drops most rows whose key is not wanted, before an exact join: by a broadcast table of hash remainders.
+
+    The table has 2**bits rows at most, however many keys are wanted; with
+    more of them it lets more rows pass, never fewer.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit(1 << bits)).alias("sieve_slot")
+    return rows.join(F.broadcast(wanted.select(slot(wanted_key)).distinct()), F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << bits)) == F.col("sieve_slot"), "left_semi")
