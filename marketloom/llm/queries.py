@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, licenses, lines, minhash, pieces, quality, toxicity, warc
+from marketloom.llm import decontaminate, hmm, licenses, lines, minhash, pieces, quality, toxicity, warc
 from marketloom.llm.frames import pick, split_rule
 
 
@@ -48,6 +48,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents", "doc_id", "text"), minhash.Rule(width=3, num=85))
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and hidden Markov log10 probabilities of every document; learnt outside the held-out fold."""
+    scored = hmm.run(table(spark, sf_dir, "documents", "doc_id", "text"), split_rule("doc_id", 10) != 0)
+    return scored.select("doc_id", (split_rule("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with one occurrence of each group of fuzzily equal lines."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("before", F.coalesce(F.length("text"), F.lit(0)))
@@ -136,7 +142,7 @@ FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN r ON r.node = c.rep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op6_minhash, op8_line_dedup, op9_sentencepiece, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op6_minhash, op7_hmm, op8_line_dedup, op9_sentencepiece, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
