@@ -7,12 +7,15 @@ the first scatters a shingle, the second, circularly shifted by one place more
 for each coordinate, ranks it.  Bands of coordinates are bucket keys.
 
 Equal sets are one node.  In each bucket every node is compared with one
-centre; then components are formed, and nodes of one bucket that are still in
-different components are compared too, except where the triangle inequality of
-the Jaccard distance (through the centre) or the sets' sizes rule a link out.
-So no candidate pair that could change a component is left out, and a dense
-bucket costs about as many comparisons as it has nodes.  Links are confirmed
-on the full sets, made again from the texts.
+centre, and components are formed.  Nodes that share a bucket with another
+component go through an exact prefix join: under one order of all shingles,
+rare ones first, linked sets share one of their first n - ceil(t n) + 1
+shingles (the smaller set: n - ceil(2 t n / (1 + t)) + 1), with enough left
+after it; only pairs in different components that do are compared.  So no pair
+that could change a component is left out, a dense bucket costs about as many
+comparisons as it has nodes, and near copies below the threshold, whose first
+shingles are their own, cost none.  Links are confirmed on the full sets, made
+again from the texts.
 
 The number of bands follows from the wanted chance to miss a pair right at
 the threshold.
@@ -159,6 +162,52 @@ def verify(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, common bigint, total bigint, linked boolean").dropDuplicates(["a", "b"])
 
 
+SKETCH_BITS = 18
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(node, token, i): the first shingles of each set, by which any linked set can be found, and their places.
+
+    The order of shingles is by their count in a table of 2**SKETCH_BITS
+    counters over all these texts (bounded, broadcast), then by hash; any order
+    gives exact results.
+    """
+    spark = texts.sparkSession
+
+    def count(batches):
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text", ROW_BYTES):
+                h, _ = sets(*buffers(batch.column(batch.schema.names.index("text"))), rule.width)
+                total += np.bincount(_slots(h), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    table = texts.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", ROW_BYTES):
+                h, first = sets(*buffers(batch.column(batch.schema.names.index("text"))), rule.width)
+                n = np.diff(first)
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, shared.value[_slots(h)], owner))
+                length = n - -(-rule.num * n // rule.den) + 1
+                place = np.arange(len(h)) - first[:-1][owner]  # order keeps each set's rows
+                take = place < length[owner]
+                names = batch.column(batch.schema.names.index("node")).take(pa.array(owner[take]))
+                yield pa.RecordBatch.from_arrays([names, pa.array(h[order][take].view(np.int64)), pa.array(place[take])], ["node", "token", "i"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, token bigint, i bigint")
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Texts of both ends; the hot end, a, is joined last and stays on the left."""
     b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -187,18 +236,18 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     links = near.where("linked").select("a", "b")
     roots = components(links)
 
-    # nodes of one bucket in different components: compared unless a bound rules the link out
+    # nodes that share a bucket with another component: an exact join of prefixes finds what could still be linked
     placed = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    far = near.select("a", F.col("b").alias("node"), (1 - F.col("common") / F.col("total")).alias("d"))
-    own = placed.join(mixed, "key", "left_semi").join(far, ["a", "node"], "left")
-    own = own.withColumn("d", F.when(F.col("a") == F.col("node"), 0.0).otherwise(F.col("d")))
-    own = materialise(own.select("key", "node", "n", "root", "d"), "mixed")
-    x = own.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("d").alias("da"))
-    y = own.select("key", F.col("node").alias("b"), F.col("n"), F.col("root").alias("rb"), F.col("d").alias("db"))
-    slack = 1 - rule.num / rule.den + 1e-9
-    # a size ratio that rules out the link with the centre still bounds the distance to it from below
-    rest = x.join(y, "key").where("a < b and ra <> rb").where(ratio).where(f"da is null or db is null or abs(da - db) <= {slack}").select("a", "b").distinct()
+    own = materialise(placed.join(mixed, "key", "left_semi").select("node", "n", "root").distinct(), "mixed")
+    prefix = materialise(prefixes(texts.join(own.select("node"), "node", "left_semi"), rule).join(own, "node"), "prefixes")
+    # x is the smaller set: linked sets share n - ceil(2 t / (1 + t) n) + 1 of its first shingles, and after the first
+    # common shingle enough must be left of both
+    both = rule.num + rule.den
+    x = prefix.where(f"i < n - ceil({2 * rule.num} * n / {both}) + 1").select("token", F.col("node").alias("x"), F.col("n").alias("na"), F.col("root").alias("rx"), F.col("i").alias("ix"))
+    y = prefix.select("token", F.col("node").alias("y"), "n", F.col("root").alias("ry"), F.col("i").alias("iy"))
+    meet = x.join(y, "token").where("(na < n or na = n and x < y) and rx <> ry").where(ratio).where(f"{both} * least(na - ix, n - iy) >= {rule.num} * (na + n)")
+    rest = meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = materialise(rest.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionAll(verify(_with_texts(rest, texts), rule).where("linked").select("a", "b"))
@@ -208,7 +257,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = materialise(placed.join(smallest, "root").select("node", "component_id"), "components")
-    for old in (crowd, first, texts, near, own, rest, roots, nodes):
+    for old in (crowd, first, texts, near, own, prefix, rest, roots, nodes):
         discard(old)
     out = signed.join(ids, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
