@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, hmm, licenses, lines, minhash, pieces, quality, toxicity, warc
+from marketloom.llm import decontaminate, hmm, licenses, lines, media, minhash, pieces, quality, toxicity, warc
 from marketloom.llm.frames import pick, split_rule
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return pick(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *columns)
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a lossless WebP image, read back and described."""
+    return media.features(media.store(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learnt from labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -142,7 +147,7 @@ FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN r ON r.node = c.rep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op6_minhash, op7_hmm, op8_line_dedup, op9_sentencepiece, op10_license_scan)}
+    return {f.__name__: f for f in (op1_webp, op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op6_minhash, op7_hmm, op8_line_dedup, op9_sentencepiece, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
