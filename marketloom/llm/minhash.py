@@ -261,3 +261,21 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         discard(old)
     out = signed.join(ids, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The documents without near-duplicates: of each component the one with the smallest id stays, with all its columns.
+
+    A row with a null id takes part under an id made from its text, larger
+    than other ids; of rows that repeat an id and a text one stays.
+    """
+    own = F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+    rows = docs.select(own.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = link(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), rule)
+    found = materialise(found.select(F.col("doc_id").alias("key"), "kept", "component_id", "n_shingles"), "linked")
+    left = rows.join(found.where("not kept").select("key").distinct(), "key", "left_anti")
+    twice = materialise(found.where("kept").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    if not twice.isEmpty():
+        again = left.join(twice, "key", "left_semi").withColumn("same", F.sha2("row.text", 256)).dropDuplicates(["key", "same"]).drop("same")
+        left = left.join(twice, "key", "left_anti").unionAll(again)
+    return left.select("row.*")
