@@ -11,7 +11,11 @@ from marketloom.functions.text import words
 def ngram_counts(df: DataFrame, text: str, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
     """(gram, size, n) over all rows."""
     w = df.select(words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    parts = [w.where(F.size("w") >= k).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i, k=k: F.array_join(F.slice("w", i, k), " ")) if k > 1 else F.col("w")).alias("gram"), F.lit(k).alias("size")) for k in sizes]
+
+    def grams(k: int):
+        return F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")) if k > 1 else F.col("w")
+
+    parts = [w.where(F.size("w") >= k).select(F.explode(grams(k)).alias("gram"), F.lit(k).alias("size")) for k in sizes]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

@@ -43,7 +43,8 @@ def changes(stream: DataFrame, key: str, value: str) -> DataFrame:
                 last = v
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "event_id", "ts", "old", "new"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, "event_id", "ts", "old", "new"])
 
     schema = f"{key} {kinds[key]}, event_id bigint, ts timestamp, old {kinds[value]}, new {kinds[value]}"
     return stream.groupBy(key).applyInPandasWithState(step, schema, f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
