@@ -19,7 +19,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def feed(spark: SparkSession, path: str) -> DataFrame:
     """Items of landed RSS files: undated items have a null time."""
     rows = spark.read.format("xml").option("rowTag", "item").schema(FEED_ITEM).load(path)
-    return rows.withColumn("published", F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate")))
+    return rows.withColumn("published", F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate")))
 
 
 def chart(spark: SparkSession, path: str) -> DataFrame:
