@@ -5,8 +5,10 @@ joined by one space.  A phrase counts at every place where its words stand
 consecutively.  A notice is searched within ``edits`` insertions, deletions
 and substitutions: cut into edits + 1 pieces, at least one piece is unharmed
 in any such match (pigeonhole), so exact hits of the pieces locate every
-candidate; the regex library then matches the whole notice with that error
-bound in the candidate's surroundings and reports the span and its edits.
+candidate.  Of twice as many pieces at least edits + 2 must be unharmed, which
+rules most candidates out; the regex library then matches the whole notice
+with that error bound in the candidate's surroundings and reports the span and
+its edits.
 
 Defined cases: null and empty texts have no words, no labels, score 0; equal
 texts get equal results; empty tables give empty results; other columns pass
@@ -64,13 +66,11 @@ def joined(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices):
         self.phrases = [(len(p.split()), p.encode(), label) for p, label in phrases.items()]
-        self.notices = [(label, len(text), k, pieces(text, k), regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")) for label, text, k in notices]
-        probe = [p.encode() for p in phrases]
+        self.notices = [(label, len(text), k, pieces(text, k), [p.decode() for _, p in pieces(text, 2 * k + 1)], regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")) for label, text, k in notices]
         self.hashes = {}
         for n, text, _ in self.phrases:
             w = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), KEEP)
             self.hashes[text] = windows(w, n)[1][0]
-        assert len(probe) == len(self.hashes)
 
     def exact(self, w: Words):
         """(document, label, word in the document) of every phrase."""
@@ -86,7 +86,7 @@ class Scanner:
     def fuzzy(self, w: Words):
         """(document, label, first word, last word, edits, length) of every notice."""
         text, starts, docs = joined(w)
-        for label, length, k, parts, pattern in self.notices:
+        for label, length, k, parts, halves, pattern in self.notices:
             spots = []
             for offset, piece in parts:
                 at = text.find(piece)
@@ -97,6 +97,8 @@ class Scanner:
             for a, b in self._merged(sorted(spots)):
                 for lo, hi in self._in_documents(a, b, docs):
                     view = text[lo:hi].decode("latin-1")  # a byte is a character: edits count bytes
+                    if sum(h in view for h in halves) < k + 2:
+                        continue
                     for m in pattern.finditer(view):
                         s, e = lo + m.start(), lo + m.end()
                         if s < done or e <= s:
