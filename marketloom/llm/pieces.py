@@ -17,6 +17,7 @@ empty tables give empty results; other columns pass through.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from itertools import chain
@@ -224,11 +225,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
 
     def run(batches):
         encoder = Encoder(model)
-        for whole in batches:
-            for batch in slices(whole, text):
-                found = encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
-                back = encoder.decode(found)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())], [*batch.schema.names, ids, decoded])
+        gc.disable()  # many small tuples and no cycles: collections would only walk the memory of segments
+        try:
+            for whole in batches:
+                for batch in slices(whole, text):
+                    found = encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
+                    back = encoder.decode(found)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())], [*batch.schema.names, ids, decoded])
+        finally:
+            gc.enable()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, `{ids}` array<int>, `{decoded}` string")
