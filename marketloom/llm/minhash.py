@@ -7,9 +7,8 @@ the first scatters a shingle, the second, circularly shifted by one place more
 for each coordinate, ranks it.  Bands of coordinates are bucket keys.
 
 Equal sets are one node.  In each bucket every node is compared with one
-centre, and components are formed; where several meet in a bucket, the node
-nearest to the centre is a second centre.  Nodes that still share a bucket with
-another component go through an exact prefix join: under one order of all shingles,
+centre, and in larger buckets with a second one, the node nearest to the first;
+then components are formed.  Nodes that share a bucket with another component go through an exact prefix join: under one order of all shingles,
 rare ones first, linked sets share one of their first n - ceil(t n) + 1
 shingles (the smaller set: n - ceil(2 t n / (1 + t)) + 1), with enough left
 after it; only pairs in different components that do are compared.  So no pair
@@ -229,34 +228,28 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     member = nodes.select(F.explode("keys").alias("key"), "node", "n")
     centre = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"))).alias("c"), F.count("*").alias("m")).where("m > 1")
     ratio = f"{rule.den} * least(n, na) >= {rule.num} * greatest(n, na)"
-    crowd = materialise(member.join(centre.select("key", "c.a", "c.na"), "key").select("key", "node", "n", "a", "na"), "crowd")
+    crowd = materialise(member.join(centre.select("key", "c.a", "c.na", "m"), "key").select("key", "node", "n", "a", "na", "m"), "crowd")
     first = crowd.where("a <> node").where(ratio).select("a", F.col("node").alias("b")).distinct()
     first = materialise(first, "pairs")
     texts = materialise(_texts(docs, nodes, crowd.select("node").distinct()), "texts")
     near = materialise(verify(_with_texts(first, texts), rule), "near")
-    links = near.where("linked").select("a", "b")
-    roots = components(links)
 
-    def mixed_nodes(roots: DataFrame) -> DataFrame:
-        """(key, node, n, root) of buckets in which several components meet."""
-        placed = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return placed.join(mixed, "key", "left_semi").select("key", "node", "n", "root", F.col("a").alias("centre"))
-
-    # there, a second centre: the node nearest to the first one
-    own = materialise(mixed_nodes(roots), "mixed")
-    nearness = near.select(F.col("a").alias("centre"), F.col("b").alias("node"), (F.col("common") / F.col("total")).alias("j"))
-    hub = own.join(nearness, ["centre", "node"]).groupBy("key").agg(F.max(F.struct("j", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))).alias("h")).select("key", "h.a", "h.na", "h.ra")
-    more = own.where("node <> centre").join(hub, "key").where("a <> node and ra <> root").where(ratio).select("a", F.col("node").alias("b")).distinct()
-    more = materialise(verify(_with_texts(materialise(more, "more"), texts), rule), "second")
-    links = materialise(links.unionAll(more.where("linked").select("a", "b")), "links")
-    discard(roots)
-    discard(own)
+    # a second centre for buckets of three or more: the node nearest to the first one
+    nearness = near.select("a", F.col("b").alias("node"), (F.col("common") / F.col("total")).alias("j"))
+    large = crowd.where("m > 2 and node <> a").select("key", "node", "n", "a")
+    hub = large.join(nearness, ["a", "node"]).groupBy("key").agg(F.max(F.struct("j", F.col("node").alias("hub"), F.col("n").alias("na"))).alias("h")).select("key", "h.hub", "h.na")
+    more = large.join(hub, "key").where("hub <> node").where(ratio).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    done = near.select("a", "b").unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    second = materialise(more.join(done, ["a", "b"], "left_anti"), "more")
+    more = materialise(verify(_with_texts(second, texts), rule), "second")
+    links = materialise(near.where("linked").select("a", "b").unionAll(more.where("linked").select("a", "b")), "links")
     roots = components(links)
     tried = near.select("a", "b").unionAll(more.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    # what is still mixed: an exact join of prefixes finds all that could be linked
-    own = materialise(mixed_nodes(roots).select("node", "n", "root").distinct(), "mixed")
+    # nodes that share a bucket with another component: an exact join of prefixes finds all that could be linked
+    placed = crowd.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    own = materialise(placed.join(mixed, "key", "left_semi").select("node", "n", "root").distinct(), "mixed")
     prefix = materialise(prefixes(texts.join(own.select("node"), "node", "left_semi"), rule).join(own, "node"), "prefixes")
     # x is the smaller set: linked sets share n - ceil(2 t / (1 + t) n) + 1 of its first shingles, and after the first
     # common shingle enough must be left of both
@@ -274,7 +267,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = materialise(placed.join(smallest, "root").select("node", "component_id"), "components")
-    for old in (crowd, first, texts, near, more, links, own, prefix, rest, roots, nodes):
+    for old in (crowd, first, texts, near, second, more, links, own, prefix, rest, roots, nodes):
         discard(old)
     out = signed.join(ids, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -55,11 +55,11 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     got = _POWERS.get((base, inverse))
     if got is None or len(got) < n:
         step = pow(base, -1, 1 << 64) if inverse else base
-        size = max(n, SLICE_BYTES + 64)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         got = np.full(size, step, dtype=np.uint64)
         got[0] = 1
         np.multiply.accumulate(got, out=got)
-        if size > 4 * SLICE_BYTES:
+        if size > 4 * SLICE_BYTES:  # of a very long text; not kept
             return got[:n]
         _POWERS[base, inverse] = got
     return got[:n]
