@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def checkpoints(events: DataFrame, ticks: DataFrame, hours: tuple[int, ...] = (1, 4, 24), slack: int = 240) -> DataFrame:
     """First price at or after each horizon, for events (id, symbol, ts) and ticks (symbol, ts, price, tick).
 
-    Ticks and horizons meet in hour buckets: a horizon looks up the first tick
-    of its own bucket after it, or of the next bucket that has one; the first
-    tick of every bucket is a partial minimum, so the join sees few rows.
+    Horizons and ticks are sorted together inside hours of a symbol, so a
+    horizon finds the first tick after it in one running minimum.  Hours
+    without a later tick take the first tick of the next hour that has one,
+    at most ``slack`` hours on; the first tick of every hour is a partial
+    minimum, so that join sees one row for each hour.
     """
     hour = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 3600)
-    goals = events.select("id", "symbol", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), (F.col("ts") + F.make_interval(hours=F.lit(h))).alias("goal")) for h in hours])).alias("g")).select("id", "symbol", "g.h", "g.goal").withColumn("bucket", hour("goal"))
-    own = ticks.withColumn("bucket", hour("ts"))
-    same = goals.join(own.select("symbol", "bucket", "ts", "tick", "price"), ["symbol", "bucket"]).where("ts >= goal").groupBy("id", "h").agg(F.min(F.struct("ts", "tick", "price")).alias("p"))
-    firsts = own.groupBy("symbol", "bucket").agg(F.min(F.struct("ts", "tick", "price")).alias("p"))
-    later = goals.join(same, ["id", "h"], "left_anti").join(firsts.withColumnRenamed("bucket", "b"), "symbol").where(f"b > bucket and b <= bucket + {slack}").groupBy("id", "h").agg(F.min("p").alias("p"))
-    return same.unionByName(later).select("id", "h", F.col("p.price").alias("price_after"), F.col("p.ts").alias("at"))
+    tick = F.struct("ts", "tick", "price")
+    goals = events.select("id", "symbol", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), (F.col("ts") + F.make_interval(hours=F.lit(h))).alias("at")) for h in hours])).alias("g")).select("id", "symbol", "g.h", "g.at")
+    own = ticks.select("symbol", F.col("ts").alias("at"), tick.alias("p"))
+    both = goals.unionByName(own, allowMissingColumns=True).withColumn("bucket", hour("at"))
+    backwards = W.partitionBy("symbol", "bucket").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("first", F.min("p").over(backwards)).where("h is not null").select("id", "symbol", "h", "bucket", "first")
+    firsts = ticks.withColumn("b", hour("ts")).groupBy("symbol", "b").agg(F.min(tick).alias("q"))
+    open_ = found.where("first is null").select("symbol", "bucket").distinct()
+    later = open_.join(firsts, "symbol").where(f"b > bucket and b <= bucket + {slack}").groupBy("symbol", "bucket").agg(F.min("q").alias("next"))
+    placed = found.join(later, ["symbol", "bucket"], "left").withColumn("p", F.coalesce("first", "next")).where("p is not null")
+    return placed.select("id", "h", F.col("p.price").alias("price_after"), F.col("p.ts").alias("at"))
 
 
 def moves(rows: DataFrame, least: int = 5) -> DataFrame:

@@ -375,24 +375,27 @@ def ma_crossover_prediction(s, d):
     return timeseries.crossover(scores).select("symbol", *[F.round(c, 6).alias(c) for c in ("fast", "slow", "momentum")], "prediction")
 
 
-@query("""WITH e AS (SELECT event_id AS id, event_type AS symbol, ts, value FROM events WHERE event_id % 20 = 0), g AS (SELECT id, symbol, h, ts + h * INTERVAL 1 HOUR AS goal FROM e, (SELECT unnest([1, 4, 24]) AS h)),
-p AS (SELECT g.id, g.h, arg_min(t.value, (t.ts, t.event_id)) AS price_after FROM g JOIN events t ON t.event_type = g.symbol AND t.ts >= g.goal GROUP BY ALL) SELECT id, h, price_after FROM p""")
+CHECKPOINTS = """g AS (SELECT event_id AS id, event_type AS symbol, h, ts + h * INTERVAL 1 HOUR AS goal FROM events, (SELECT unnest([1, 4, 24]) AS h)),
+t AS (SELECT event_type AS symbol, ts, arg_min(value, event_id) AS price_after FROM events GROUP BY ALL),
+p AS (SELECT g.id, g.h, t.price_after FROM g ASOF JOIN t ON t.symbol = g.symbol AND t.ts >= g.goal)"""
+
+
+@query(f"WITH {CHECKPOINTS} SELECT id, h, price_after FROM p")
 def asof_checkpoints(s, d):
-    """First price at or after 1, 4 and 24 hours, for every twentieth event."""
+    """First price at or after 1, 4 and 24 hours, for every event."""
     e = table(s, d, "events")
     ticks = e.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.col("event_id").alias("tick"))
-    return correlation.checkpoints(e.where("event_id % 20 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), "ts"), ticks).select("id", "h", "price_after")
+    return correlation.checkpoints(e.select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), "ts"), ticks).select("id", "h", "price_after")
 
 
-@query("""WITH e AS (SELECT event_id AS id, event_type AS symbol, ts, value AS price, CASE WHEN user_id % 3 = 0 THEN 1 WHEN user_id % 3 = 1 THEN -1 ELSE 0 END AS sentiment FROM events WHERE event_id % 20 = 0),
-g AS (SELECT *, ts + h * INTERVAL 1 HOUR AS goal FROM e, (SELECT unnest([1, 4, 24]) AS h)), p AS (SELECT g.id, g.h, arg_min(t.value, (t.ts, t.event_id)) AS price_after FROM g JOIN events t ON t.event_type = g.symbol AND t.ts >= g.goal GROUP BY ALL),
-m AS (SELECT symbol, h, sentiment, (price_after - price) / price * 100 AS move FROM p JOIN g USING (id, h) WHERE price <> 0)
+@query(f"""WITH e AS (SELECT event_id AS id, event_type AS symbol, value AS price, CASE WHEN user_id % 3 = 0 THEN 1 WHEN user_id % 3 = 1 THEN -1 ELSE 0 END AS sentiment FROM events), {CHECKPOINTS},
+m AS (SELECT symbol, h, sentiment, (price_after - price) / price * 100 AS move FROM p JOIN e USING (id) WHERE price <> 0)
 SELECT symbol, h, count(*) AS events, CASE WHEN count(*) >= 5 THEN round(avg(move) FILTER (sentiment > 0), 4) END AS move_pos, CASE WHEN count(*) >= 5 THEN round(avg(move) FILTER (sentiment < 0), 4) END AS move_neg,
   CASE WHEN count(*) >= 5 THEN round(avg((sign(sentiment) = sign(move))::INT) FILTER (sentiment <> 0), 6) END AS accuracy FROM m GROUP BY ALL""")
 def sentiment_move_corr(s, d):
     """How prices move after events of either sign."""
     sign = F.when(F.col("user_id") % 3 == 0, 1).when(F.col("user_id") % 3 == 1, -1).otherwise(0)
-    e = table(s, d, "events").where("event_id % 20 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), sign.cast("double").alias("sentiment"))
+    e = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), sign.cast("double").alias("sentiment"))
     m = correlation.moves(asof_checkpoints(s, d).join(e, "id"))
     return m.select("symbol", "h", "events", F.round("move_pos", 4).alias("move_pos"), F.round("move_neg", 4).alias("move_neg"), F.round("accuracy", 6).alias("accuracy"))
 
