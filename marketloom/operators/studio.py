@@ -98,3 +98,23 @@ def chrf(a: Column, b: Column, most: int = 6, beta: float = 2.0) -> Column:
     mean = lambda cs: reduce(lambda p, q: p + q, [F.coalesce(c, F.lit(0.0)) for c in cs]) / F.nullif(reduce(lambda p, q: p + q, [c.isNotNull().cast("int") for c in cs]), F.lit(0))
     p, r = mean([x for x, _ in parts]), mean([y for _, y in parts])
     return F.coalesce((1 + beta**2) * p * r / F.nullif(beta**2 * p + r, F.lit(0.0)), F.lit(0.0))
+
+
+def chrf_rows(pairs: DataFrame, key: str, a: str, b: str, most: int = 6, beta: float = 2.0) -> DataFrame:
+    """(key, chrf) as ``chrf`` gives it, for whole texts of any length: n-grams are counted in rows.
+
+    Keys are unique; null texts count as empty; a pair without n-grams gets 0.
+    """
+
+    def counts(text: str, name: str) -> DataFrame:
+        plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "")
+        sizes = pairs.select(F.col(key).alias("key"), plain.alias("t"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).where(F.length("t") >= F.col("n"))
+        grams = sizes.select("key", "n", "t", F.explode(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1)).alias("i"))
+        return grams.groupBy("key", "n", F.substring("t", F.col("i"), F.col("n")).alias("gram")).agg(F.count("*").alias(name))
+
+    both = counts(a, "x").join(counts(b, "y"), ["key", "n", "gram"], "full")
+    by_size = both.groupBy("key", "n").agg(F.sum(F.least("x", "y") * (F.col("x").isNotNull() & F.col("y").isNotNull()).cast("int")).alias("c"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    c = F.coalesce("c", F.lit(0))
+    means = by_size.groupBy("key").agg(F.coalesce(F.avg(c / F.col("x")), F.lit(0.0)).alias("p"), F.coalesce(F.avg(c / F.col("y")), F.lit(0.0)).alias("r"))
+    value = F.coalesce((1 + beta**2) * F.col("p") * F.col("r") / F.nullif(beta**2 * F.col("p") + F.col("r"), F.lit(0.0)), F.lit(0.0))
+    return pairs.select(F.col(key)).join(means.select(F.col("key").alias(key), value.alias("chrf")), key, "left").select(key, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))

@@ -128,7 +128,7 @@ def report_markdown(s, d):
 
 @query()
 def chrf_pairs(s, d):
-    """Character n-gram F-scores of neighbouring reference items."""
+    """Character n-gram F-scores of neighbouring reference items, over their whole texts."""
     b = table(s, d, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
-    return b.join(other, "item_id").select("item_id", F.round(studio.chrf(F.substring("text", 1, 60), F.substring("next", 1, 60)), 6).alias("chrf"))
+    return studio.chrf_rows(b.join(other, "item_id"), "item_id", "text", "next").withColumn("chrf", F.round("chrf", 6))

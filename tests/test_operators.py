@@ -117,3 +117,28 @@ def test_readers(spark, tmp_path):
     assert readers.lexicon(spark, str(tmp_path / "lex"), 0.5).first().fa == "طلا"
     arrays = readers.state_arrays(spark.createDataFrame([('["a"]',), ("bad",), (None,)], "x string"), "x")
     assert [r.x for r in arrays.collect()] == [["a"], [], []]
+
+
+def test_chrf_rows(spark):
+    """Counted in rows, n-grams give what a plain count gives."""
+    from collections import Counter
+
+    from marketloom.operators import studio
+
+    pairs = [(1, "the cat sat", "the cat sits there"), (2, "abc", "abc"), (3, "", "x"), (4, None, None), (5, "aaaa aaaa", "aa"), (6, "no", "yes")]
+
+    def plain(a, b):
+        a, b = "".join((a or "").split()), "".join((b or "").split())
+        p, r = [], []
+        for n in range(1, 7):
+            x, y = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (a, b))
+            common = sum((x & y).values())
+            p += [common / x.total()] if x else []
+            r += [common / y.total()] if y else []
+        p, r = sum(p) / max(1, len(p)), sum(r) / max(1, len(r))
+        return 5 * p * r / (4 * p + r) if 4 * p + r else 0.0
+
+    got = {row["id"]: row["chrf"] for row in studio.chrf_rows(spark.createDataFrame(pairs, "id int, a string, b string"), "id", "a", "b").collect()}
+    assert got.keys() == {i for i, _, _ in pairs}
+    for i, a, b in pairs:
+        assert abs(got[i] - plain(a, b)) < 1e-9
