@@ -163,3 +163,17 @@ def test_simhash_counts(spark):
 def test_awkward_rows(spark, docs):
     out = lines.dedup(docs)
     assert out.count() == docs.count() and set(docs.columns) < set(out.columns)
+
+
+def test_repeated_rows_keep_their_simhash(spark):
+    """A row stored several times gives the bits of one copy, and its near-copies still go."""
+    base = [f"token{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    near = " ".join([*base[:77], "changed", *base[78:]])
+    once = [(1, " ".join(base)), (2, near + "\nten short words that nobody else has in a line"), (None, "a text without an id")]
+    one = spark.createDataFrame(once, "doc_id long, text string")
+    many = spark.createDataFrame([r for r in once for _ in range(1 if r[0] == 1 else 3)], "doc_id long, text string")
+    bits = lambda d: {(r.key, r.pos, r.n1, r.n2, r.bits) for r in lines.occurrences(d).collect()}
+    assert bits(many) == bits(one)
+    got = lines.dedup(many).collect()
+    assert len(got) == len(once) * 3 - 2
+    assert {r.text for r in got if r.doc_id == 2} == {"ten short words that nobody else has in a line"}
