@@ -177,3 +177,19 @@ def test_repeated_rows_keep_their_simhash(spark):
     got = lines.dedup(many).collect()
     assert len(got) == len(once) * 3 - 2
     assert {r.text for r in got if r.doc_id == 2} == {"ten short words that nobody else has in a line"}
+
+
+def test_lines_equal_but_for_signs_and_numbers(spark):
+    """Signs and white space beyond ASCII separate words, and numbers of any length are one."""
+    pairs = [("\u00abLe monde\u00bb \u2014 voil\u00e0\u2026", "le monde, voil\u00e0!"), ("see\u00a0page\u202f9 \u2013 of \u201cthe\u201d book", "see page 10 of the book"), ("im Jahr \u0663\u0664", "im jahr 2024")]
+    for a, b in pairs:
+        got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame([(1, a), (2, b + "\n\u2014 \u2026")], "doc_id long, text string")).collect()}
+        assert got[1].text == a and got[2].text == "\u2014 \u2026" and got[2].emptied, a
+
+
+def test_edits_of_a_line_count_characters(spark):
+    """One letter of a short line is one edit, and a whole word is as many as it is long."""
+    rows = [((1, 1), "subscribe to our newslettr"), ((2, 2), "subscribe to our newsletter"), ((3, 3), "one two three internationalisation four"), ((4, 4), "one two three supercalifragilistic four")]
+    texts = spark.createDataFrame(rows, "node struct<n1: long, n2: long>, norm string")
+    pairs = spark.createDataFrame([((1, 1), (2, 2)), ((3, 3), (4, 4))], "a struct<n1: long, n2: long>, b struct<n1: long, n2: long>")
+    assert [(r.a.n1, r.b.n1) for r in lines._links(pairs, texts, 0.8).collect()] == [(1, 2)]
