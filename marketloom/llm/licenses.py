@@ -8,7 +8,10 @@ in any such match (pigeonhole), so exact hits of the pieces locate every
 candidate.  Of twice as many pieces at least edits + 2 must be unharmed, which
 rules most candidates out; the regex library then matches the whole notice
 with that error bound in the candidate's surroundings and reports the span and
-its edits.
+its edits.  The words that tell licences apart (names, versions) must stand
+exactly; the errors are allowed in the wording around them.  Of overlapping
+matches the one with the fewest edits counts, and the stretches before and
+after it are searched again.
 
 Defined cases: null and empty texts have no words, no labels, score 0; equal
 texts get equal results; empty tables give empty results; other columns pass
@@ -38,6 +41,9 @@ NOTICES = (
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", 5),
 )
 
+#: Words of a notice that no error may touch: the names and versions that tell licences apart.
+DISTINCT = frozenset(("mit", "apache", "nc", "gnu", "mozilla", "2", "3"))
+
 KEEP = letter_words()
 RESULT = pa.struct([("n_words", pa.int64()), ("places", pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))), ("notices", pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64()), ("length", pa.int64())])))])
 RESULT_SQL = "struct<n_words:bigint,places:array<struct<label:string,word:bigint>>,notices:array<struct<label:string,first_word:bigint,last_word:bigint,edits:bigint,length:bigint>>>"
@@ -49,6 +55,31 @@ def pieces(notice: str, edits: int) -> list[tuple[int, bytes]]:
     return [(a, notice[a:b].encode()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def pattern_of(notice: str, edits: int) -> regex.Pattern:
+    """The notice with at most ``edits`` errors in each stretch between words of DISTINCT, which match as whole words; callers bound the sum."""
+    out, loose = [], ""
+    for word in regex.split("( )", notice):
+        if word in DISTINCT:
+            before = "(?<![0-9])(?<![0-9] )" if word.isdigit() else "(?<![0-9a-z])"
+            out += [f"(?:{regex.escape(loose)}){{e<={edits}}}"] * bool(loose) + [before + word + ("(?![0-9])" if word.isdigit() else "(?![0-9a-z])")]
+            loose = ""
+        else:
+            loose += word
+    return regex.compile("(?b)" + "".join(out) + f"(?:{regex.escape(loose)}){{e<={edits}}}" * bool(loose))
+
+
+def best(pattern: regex.Pattern, edits: int, view: str) -> list[regex.Match]:
+    """Matches that do not overlap, in order: the best of a stretch, then those before and after it."""
+    found, open_ = [], [(0, len(view))]
+    while open_:
+        lo, hi = open_.pop()
+        m = pattern.search(view, lo, hi) if lo < hi else None
+        if m and m.end() > m.start() and sum(m.fuzzy_counts) <= edits:
+            found.append(m)
+            open_ += [(lo, m.start()), (m.end(), hi)]
+    return sorted(found, key=lambda m: m.start())
+
+
 def joined(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All words of a slice with one space after each (a line feed after a document's last); byte starts of words and documents."""
     width = w.end - w.start
@@ -66,7 +97,7 @@ def joined(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices):
         self.phrases = [(len(p.split()), p.encode(), label) for p, label in phrases.items()]
-        self.notices = [(label, len(text), k, pieces(text, k), [p.decode() for _, p in pieces(text, 2 * k + 1)], regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")) for label, text, k in notices]
+        self.notices = [(label, len(text), k, pieces(text, k), [p.decode() for _, p in pieces(text, 2 * k + 1)], pattern_of(text, k)) for label, text, k in notices]
         self.hashes = {}
         for n, text, _ in self.phrases:
             w = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), KEEP)
@@ -99,7 +130,7 @@ class Scanner:
                     view = text[lo:hi].decode("latin-1")  # a byte is a character: edits count bytes
                     if sum(h in view for h in halves) < k + 2:
                         continue
-                    for m in pattern.finditer(view):
+                    for m in best(pattern, k, view):
                         s, e = lo + m.start(), lo + m.end()
                         if s < done or e <= s:
                             continue

@@ -193,3 +193,26 @@ def test_edits_of_a_line_count_characters(spark):
     texts = spark.createDataFrame(rows, "node struct<n1: long, n2: long>, norm string")
     pairs = spark.createDataFrame([((1, 1), (2, 2)), ((3, 3), (4, 4))], "a struct<n1: long, n2: long>, b struct<n1: long, n2: long>")
     assert [(r.a.n1, r.b.n1) for r in lines._links(pairs, texts, 0.8).collect()] == [(1, 2)]
+
+
+def _notices(text):
+    import pyarrow as pa
+
+    from marketloom.llm.words import buffers
+    from marketloom.llm.words import words as split
+
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES)
+    return [hit[1:5] for hit in scanner.fuzzy(split(*buffers(pa.array([text])), licenses.KEEP))]
+
+
+def test_other_licenses_get_no_label():
+    """Names and versions stand exactly, whatever errors the wording around them may have."""
+    other = ("released under the bsd license", "released under the gpl license", "released under the commit license", "licensed under cc by sa 4 0", "licensed under cc by nd 4 0", "licensed under the gnu general public license version 2", "licensed under the apache license version 1 1", "licensed under the apple license version 2 0", "subject to the terms of the mozilla public license v 1 1")
+    for text in other:
+        assert _notices("before it " + text + " and after") == [], text
+
+
+def test_neighbouring_notices():
+    """An inexact notice before an exact one is reported too, and one after another licence's."""
+    assert _notices("released under the mit licence released under the mit license") == [("mit", 0, 4, 1), ("mit", 5, 9, 0)]
+    assert _notices("released under the bsd license relaesed undr the mit license") == [("mit", 5, 9, 3)]
