@@ -231,6 +231,12 @@ def edit_distance(s, d):
     return x.join(y, "block").where("a < b").select("a", "b", F.levenshtein("ta", "tb").alias("distance"))
 
 
+@query()
+def edit_distance_pairs(s, d):
+    """Edit distances of all reference items that share a word, whatever their ids."""
+    return similarity.edit_pairs(table(s, d, "benchmark"), "item_id", "text")
+
+
 SEARCH = ("the", "ther")
 
 

@@ -142,3 +142,21 @@ def test_chrf_rows(spark):
     assert got.keys() == {i for i, _, _ in pairs}
     for i, a, b in pairs:
         assert abs(got[i] - plain(a, b)) < 1e-9
+
+
+def test_edit_distance_of_all_pairs_that_share_a_word(spark):
+    from marketloom.operators import similarity
+
+    texts = {1: "Márkets rally todäy", 2: "markets rally today again", 13: "rally of the bonds", 25: "nothing in common", 36: None}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    df = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    got = {(r.a, r.b): r.distance for r in similarity.edit_pairs(df, "item_id", "text").collect()}
+    assert got == {(a, b): edits(texts[a], texts[b]) for a, b in ((1, 2), (1, 13), (2, 13))}
