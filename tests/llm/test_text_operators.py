@@ -1,8 +1,8 @@
 """Decontamination, licenses, SentencePiece and line dedup against plain versions."""
 
+import random
 import re
 import string
-from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,8 +106,39 @@ def _edits(a, b):
     return row[-1]
 
 
+def _norm(line):
+    return " ".join("".join(c if c.isalpha() else "0" if c.isdigit() else " " for c in line.lower()).split())
+
+
+def _alike(a, b):
+    wa, wb = set(a.split()), set(b.split())
+    return 2 * len(wa & wb) >= max(len(wa), len(wb)) and _edits(a, b) <= 0.2 * max(len(a), len(b))
+
+
+def _kept(rows):
+    """Texts after line dedup over (doc_id, text) with every pair of lines compared: no SimHash, no buckets."""
+    lines_ = [(i, k, _norm(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if _norm(x)]
+    nodes = sorted({n for _, _, n in lines_})
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for x, a in enumerate(nodes):
+        for b in nodes[:x]:
+            if _alike(a, b):
+                parent[root(a)] = root(b)
+    stays = {}
+    for i, k, n in lines_:
+        stays[root(n)] = min(stays.get(root(n), (i, k)), (i, k))
+    gone = {(i, k) for i, k, n in lines_ if stays[root(n)] != (i, k)}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+
+
 def test_line_dedup(spark):
-    long = [f"token{i} other{i % 5}" for i in range(90)]
+    long = [f"token{chr(97 + i % 26)}{i // 26 * 'x'} other{chr(97 + i % 5)}" for i in range(90)]
     texts = {
         1: "Shared line, number 7 here\n" + " ".join(long),
         2: "shared LINE number 8 here!\nown words of the second text",
@@ -115,49 +146,77 @@ def test_line_dedup(spark):
         4: "shared line number 1 here",
         5: "",
         6: None,
-        7: " ".join(f"very{i}" for i in range(400)),
-        8: " ".join(f"very{i}" for i in range(400)) + " more",
+        7: " ".join(f"very{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)),
+        8: " ".join(f"very{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)) + " more",
     }
-    docs = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string").withColumn("key", F.lit(1))
-    found = lines.occurrences(docs.select("doc_id", "text")).collect()
-    nodes, first = {}, {}
-    for r in found:
-        nodes[r.n1, r.n2] = r.bits & (1 << 64) - 1
-        first[r.n1, r.n2] = min(first.get((r.n1, r.n2), (99, 99)), (r.doc_id, r.pos))
-    norm = {(r.n1, r.n2): re.sub(r"[1-9]", "0", re.sub(r"[^0-9a-z\s]", " ", texts[r.doc_id].split("\n")[r.pos].lower())).split() for r in found}
-    parent = {n: n for n in nodes}
-
-    def root(n):
-        while parent[n] != n:
-            n = parent[n]
-        return n
-
-    for a in nodes:
-        for b in nodes:
-            if a < b and bin(nodes[a] ^ nodes[b]).count("1") <= 2 and _edits(norm[a], norm[b]) <= 0.2 * max(len(norm[a]), len(norm[b])):
-                parent[root(a)] = root(b)
-    stays = defaultdict(lambda: (99, 99))
-    for n in nodes:
-        stays[root(n)] = min(stays[root(n)], first[n])
-    gone = {(r.doc_id, r.pos) for r in found if stays[root((r.n1, r.n2))] != (r.doc_id, r.pos)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("emptied", F.lit("x"))
+    want = _kept(list(texts.items()))
     got = {r.doc_id: r for r in lines.dedup(docs).collect()}
-    for k, t in texts.items():
-        want = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone)
-        assert got[k].text == want, k
+    assert {k: r.text for k, r in got.items()} == want
     assert got[4].emptied and not got[5].emptied and not got[2].emptied
     assert "key" in docs.columns and lines.dedup(docs.where("false")).count() == 0
 
 
+def test_recall_of_changed_words(spark):
+    """Against plain edit similarity of all pairs: at least nine in ten links of one and two changed words, and no other line leaves."""
+    rng = random.Random(3)
+    words_ = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    rows, groups_ = [], []
+    for size in (8, 10, 20, 40, 130):
+        for changes in (1, 2):
+            for _ in range(20):
+                line = [rng.choice(words_) for _ in range(size)]
+                other = list(line)
+                for at in rng.sample(range(size), changes):
+                    other[at] = rng.choice(words_)
+                rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+                if _alike(*[r[1] for r in rows[-2:]]):
+                    groups_.append(rows[-1][0])
+    out = {r.doc_id: r.emptied for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(groups_) > 120 and sum(out[i] for i in groups_) >= 0.9 * len(groups_)
+    assert {i for i, e in out.items() if e} <= set(groups_)
+
+
+def test_buckets_of_several_groups(spark):
+    """Lines that share half of their words but fall into many groups: buckets are split, and every group is found."""
+    rng = random.Random(8)
+    common = [f"com{c}" for c in "abcdefghijkl"]
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    rows = []
+    for _ in range(12):
+        own = [word() for _ in range(10)]
+        for _ in range(3):
+            line = [*common, *own]
+            line[rng.randrange(len(line))] = word()
+            rows.append((len(rows), " ".join(line)))
+    out = {r.doc_id: r.emptied for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: e for i, e in out.items()} == {i: t == "" for i, t in _kept(rows).items()}
+
+
+def test_very_long_lines(spark):
+    """Lines above LONG are compared by their words, in bounded time."""
+    base = [f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 1000 % 10]}" for i in range(9000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:4000], "another", *base[4001:]])), (3, " ".join(base[::2]))]
+    out = {r.doc_id: r.emptied for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: False, 2: True, 3: False}
+
+
 def test_simhash_counts(spark):
     """Bits against a plain count, below and above the chunk size."""
-    text = " ".join(f"w{i % 90}" for i in range(300)) + "\nfew words only"
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i * i // 26 % 26)}{'q' * (i // 200)}" for i in range(700)) + "\nfew words only few"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    hashes = {r.w: r.h & (1 << 64) - 1 for r in docs.select(F.explode(F.array_distinct(F.split(F.translate(F.translate("text", "\n", " "), "123456789", "0" * 9), " "))).alias("w")).select("w", F.xxhash64("w").alias("h")).collect()}
+    hashes = {r.w: r.h & (1 << 64) - 1 for r in docs.select(F.explode(F.array_distinct(F.split(F.translate("text", "\n", " "), " "))).alias("w")).select("w", F.xxhash64(F.lit(0), "w").alias("h")).collect()}
+    assert len(hashes) > lines.CHUNK
     for r in lines.occurrences(docs).collect():
-        ws = re.sub("[1-9]", "0", text.split("\n")[r.pos]).split()
-        n = Counter(ws)
-        want = sum(1 << b for b in range(64) if 2 * sum(c for w, c in n.items() if hashes[w] >> b & 1) > len(ws))
-        assert r.bits & (1 << 64) - 1 == want
+        blocks = [[] for _ in range(lines.BLOCKS)]
+        for w in set(text.split("\n")[r.pos].split()):
+            blocks[(hashes[w] >> 32) % lines.BLOCKS].append(hashes[w])
+        for half, bits in enumerate((r.bits_a, r.bits_b)):
+            want = 0
+            for b, ws in enumerate(blocks[3 * half : 3 * half + 3]):
+                want |= min(3, len(ws)) << 3 * lines.WIDTH + 2 * b
+                want |= sum(1 << lines.WIDTH * b + k for k in range(lines.WIDTH) if 2 * sum(h >> k & 1 for h in ws) > len(ws))
+            assert bits == want
 
 
 def test_awkward_rows(spark, docs):
@@ -172,7 +231,7 @@ def test_repeated_rows_keep_their_simhash(spark):
     once = [(1, " ".join(base)), (2, near + "\nten short words that nobody else has in a line"), (None, "a text without an id")]
     one = spark.createDataFrame(once, "doc_id long, text string")
     many = spark.createDataFrame([r for r in once for _ in range(1 if r[0] == 1 else 3)], "doc_id long, text string")
-    bits = lambda d: {(r.key, r.pos, r.n1, r.n2, r.bits) for r in lines.occurrences(d).collect()}
+    bits = lambda d: {(r.key, r.pos, r.n1, r.n2, r.bits_a, r.bits_b) for r in lines.occurrences(d).collect()}
     assert bits(many) == bits(one)
     got = lines.dedup(many).collect()
     assert len(got) == len(once) * 3 - 2
