@@ -1,42 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables of the corpus operators: those of the library."""
 
-``spark.checkpoint.dir`` names that folder.  A test session may leave it unset;
-only then a folder below the working directory's temp is used.
-"""
+from marketloom.store import discard, materialise, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_FALLBACK: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _FALLBACK:  # a session without the setting, as in tests
-        _FALLBACK.append(tempfile.mkdtemp(prefix="marketloom-"))
-    return f"file://{_FALLBACK[0]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame once as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marketloom/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._marketloom_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Removes a frame of ``materialise`` that nothing reads any more."""
-    path = getattr(df, "_marketloom_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["discard", "materialise", "shared_dir"]
