@@ -109,7 +109,8 @@ def fit(sample: DataFrame, shards: int = 4, rule: Ftrl = Ftrl()) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: np.ndarray, text: str = "text", into: str = "score") -> DataFrame:
-    """Adds the probability of label 1 as column ``into``."""
+    """Adds the probability of label 1 as column ``into``; an earlier column of that name gives way."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

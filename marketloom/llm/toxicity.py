@@ -1,16 +1,17 @@
 """Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
 Terms are words (maximal runs of letters, digits and non-ASCII bytes, A-Z
-lower-cased) and their first 4 to 8 bytes as stems.  A lexicon of at most
-``lexicon_size`` terms is mined from one half of the bounded labelled sample by
-how much oftener toxic documents use a term; trees are boosted on most of the
-other half and calibrated on the rest.  The dense features of a document are
+lower-cased) and their first 4 to 8 bytes as stems.  The bounded labelled sample
+is dealt, label by label, to three disjoint parts.  A lexicon of at most
+``lexicon_size`` terms is mined from the first (five rows in ten) by how much
+oftener toxic documents use a term, trees are boosted on the second (three) and
+calibrated on the third (two).  The dense features of a document are
 lexicon densities, the share of lexicon words near a second-person pronoun,
 capitals, punctuation and obfuscation rates.
 
 Defined cases: null and empty texts have zero features and get a score like
-any other; with too few labelled rows of either kind the score is the smoothed
-share of label 1 (0 without any); equal texts get equal scores; empty tables
+any other; with fewer than six labelled rows of either kind (two in each part)
+the score is the share of label 1 (0 without any); equal texts get equal scores; empty tables
 give empty results; extra columns of the input never take part.
 """
 
@@ -24,6 +25,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.llm.labelled import sample
@@ -33,6 +35,8 @@ from marketloom.llm.words import Words, buffers, letter_words, mix, slices, word
 #: Second-person words of four languages.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi", "vous", "votre", "ton", "ta", "du", "dich", "dir", "dein", "deine", "sie", "ihr", "usted", "ustedes", "tú", "ti", "vosotros")
 STEMS = (4, 5, 6, 7, 8)
+#: The parts to which labelled rows are dealt in turn.
+PARTS = ("lexicon", "trees", "calibration", "lexicon", "trees", "calibration", "lexicon", "trees", "lexicon", "lexicon")
 NEAR = 6
 FEATURES = ("lexicon_density", "lexicon_weight", "heaviest", "log_hits", "second_person", "near_share", "capitals", "punctuation", "exclamations", "obfuscation", "log_words")
 KEEP = letter_words()
@@ -158,7 +162,8 @@ class Model:
     share: float = 0.0
 
     def score(self, docs: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
-        """Keeps every column but the text and adds the calibrated probability of label 1."""
+        """Keeps every column but the text and adds the calibrated probability of label 1; an earlier column of that name gives way."""
+        docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into])
         if self.trees is None:
             return docs.drop(text).withColumn(into, F.lit(self.share))
         row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns if c != text]).alias("row"), F.col(f"`{text}`").alias("text"))
@@ -169,17 +174,23 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, train, bound: int = 20_000, lexicon_size: int = 512, trees: int = 20, depth: int = 3) -> Model:
     """Fits lexicon, trees and calibration on at most ``bound`` labelled rows that meet ``train``, a condition on doc_id."""
-    rows = sample(docs, labels, "toxic", train, bound).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)))
-    counts = {(r.label, r.half): r.n for r in rows.groupBy("label", (F.col("fold") < 5).alias("half")).agg(F.count("*").alias("n")).collect()}
+    labelled = sample(docs, labels, "toxic", train, bound)
+    dealt = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", F.xxhash64("text")))  # over at most ``bound`` rows
+    rows = labelled.withColumn("part", F.element_at(F.array(*map(F.lit, PARTS)), (F.pmod(dealt - 1, F.lit(len(PARTS))) + 1).cast("int")))
+    parts = materialise(rows, "parts")
+    discard(labelled)
+    counts = {r.label: r.n for r in parts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
-    share = sum(n for (label, _), n in counts.items() if label == 1) / total if total else 0.0
-    lexicon = mine(rows.where("fold < 5"), lexicon_size) if total else Lexicon(np.zeros(0, np.uint64), np.zeros(0))
-    if any(counts.get((label, False), 0) < 4 for label in (0, 1)):
+    share = counts.get(1, 0) / total if total else 0.0
+    lexicon = mine(parts.where("part = 'lexicon'"), lexicon_size) if total else Lexicon(np.zeros(0, np.uint64), np.zeros(0))
+    if any(counts.get(label, 0) < 6 for label in (0, 1)):
+        discard(parts)
         return Model(lexicon, share=share)
-    fitted = materialise(featurise(rows.where("fold >= 5"), lexicon).select("label", "fold", "doc_id", "features").repartition(2, "doc_id").sortWithinPartitions("doc_id"), "dense")
+    fitted = materialise(featurise(parts.where("part <> 'lexicon'"), lexicon).select("label", "part", "doc_id", "features").repartition(2, "doc_id").sortWithinPartitions("doc_id"), "dense")
+    discard(parts)
     x = fitted.withColumn("_x", array_to_vector("features"))
     booster = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, minInstancesPerNode=3, maxBins=64)
-    boosted = booster.fit(x.where("fold < 9"))
-    calibrated = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_calibrated").fit(boosted.transform(x.where("fold >= 7")).withColumn("_p", vector_to_array("probability")[1]).select(F.col("label").cast("double").alias("label"), "_p"))
+    boosted = booster.fit(x.where("part = 'trees'"))
+    calibrated = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_calibrated").fit(boosted.transform(x.where("part = 'calibration'")).withColumn("_p", vector_to_array("probability")[1]).select(F.col("label").cast("double").alias("label"), "_p"))
     discard(fitted)
     return Model(lexicon, boosted, calibrated, share)
