@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketloom.llm.words import Words, buffers, letter_words, slices, windows, words
 
@@ -180,6 +181,7 @@ def _run(text: str, into: str, phrases, notices):
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "licenses", phrases: dict[str, str] = PHRASES, notices=NOTICES) -> DataFrame:
-    """Adds ``into``: word count, places of exact phrases, and fuzzy notices with span and edits."""
+    """Adds ``into``: word count, places of exact phrases, and fuzzy notices with span and edits; an earlier column of that name gives way."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{into}` {RESULT_SQL}"
     return docs.mapInArrow(_run(text, into, dict(phrases), tuple(notices)), schema)
