@@ -3,9 +3,10 @@
 Words are maximal runs of digits, a-z (A-Z lower-cased) and non-ASCII
 characters.  A benchmark item gives every window of ``window`` consecutive
 words; an item of fewer words, but not none, is one window.  The windows of a
-bounded block of items become a hash set that is broadcast with the scan; a
-larger benchmark is scanned in several blocks, one after the other, so that no
-broadcast grows with it and no item is left out.  Every hash hit is verified
+block of items, bounded in bytes, become a hash set that is broadcast with the
+scan; a larger benchmark is scanned in several blocks, one after the other, so
+that no broadcast grows with it and no item is left out.  One word above the
+bound is a block of its own.  Every hash hit is verified
 against the window's words.
 
 Defined cases: a null text has no words (nothing is hit); an item without
@@ -105,19 +106,58 @@ def _scan(block, text: str, into: str, window: int):
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "contamination", window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
-    """Adds ``into``: word count, hit words, their spans (words from 0, end exclusive) and the item ids, sorted.
+def _pieces(window: int, most: int):
+    """Cuts items above ``most`` bytes into runs of words that overlap by window - 1 words, so every window lies in one of them."""
+
+    def run(batches):
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = t.encode()
+                cut = [t]
+                if len(raw) > most:
+                    w = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), KEEP)
+                    cut, at, n = [], 0, len(w.hash)
+                    while n >= window and at <= n - window:
+                        end = max(at + window, int(np.searchsorted(w.end, w.start[at] + most, side="right")))
+                        cut.append(w.text(at, end).decode())
+                        at = end - window + 1
+                    cut = cut or [t]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(cut), pa.string()), pa.array(cut, pa.string()), pa.array([len(c.encode()) for c in cut], pa.int64())], ["id", "text", "bytes"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int):
+    """The distinct items in blocks of at most ``block_bytes`` of text each, collected one by one.
 
-    ``block_bytes`` bounds the item texts of one broadcast.
+    Items are cut to an eighth of a block at most; the number of blocks is
+    doubled until the largest fits.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces = items.distinct().mapInArrow(_pieces(window, block_bytes // 8), "id string, text string, bytes bigint").distinct()
+    size = pieces.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != into) + f", `{into}` {RESULT}"
+    while True:
+        block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+        largest = pieces.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("one")).agg(F.max("bytes"), F.max("one")).first()
+        if (largest[0] or 0) <= max(block_bytes, largest[1] or 0):
+            break
+        blocks *= 2
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # block_bytes on average
-        docs = docs.mapInArrow(_scan(spark.sparkContext.broadcast([(r.id, r.text) for r in part]), text, into, window), schema)
+        yield [(r.id, r.text) for r in pieces.where(block == k).select("id", "text").collect()]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "contamination", window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
+    """Adds ``into``: word count, hit words, their spans (words from 0, end exclusive) and the item ids, sorted.
+
+    ``block_bytes`` bounds the item texts of one broadcast; repeated items count
+    once and long ones are cut.  An earlier column named ``into`` gives way.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{into}` {RESULT}"
+    for part in _blocks(benchmark, item_id, item_text, window, block_bytes):
+        docs = docs.mapInArrow(_scan(spark.sparkContext.broadcast(part), text, into, window), schema)
     return docs
 
 
