@@ -32,7 +32,7 @@ from marketloom.llm.words import slices
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Segments kept in a task's memory; older ones are encoded anew when met again.
-MEMORY = 1 << 18
+MEMORY = 1 << 21
 #: Widths of the matrices for short segments; rows of one matrix at most.
 WIDTHS, ROWS = (8, 12, 16, 24, 32), 1 << 14
 NEVER = np.int32(1 << 30)
@@ -196,19 +196,22 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a bounded memory of segments."""
+    """Encodes texts with a memory of segments that holds ``memory`` characters at most, beside those of the slice at hand."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         self.vocabulary, self.memory = Vocabulary(path), memory
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         v = self.vocabulary
         cut = [v.segments(t or "") for t in texts]
         new = list(set(chain.from_iterable(cut)).difference(self.known))
-        if len(self.known) + len(new) > self.memory:
+        self.held += sum(map(len, new))
+        if self.held > self.memory:
             self.known.clear()
             new = list(set(chain.from_iterable(cut)))
+            self.held = sum(map(len, new))
         found = v.encode_segments(new)
         v.check(new, found)
         known = self.known
@@ -221,7 +224,11 @@ class Encoder:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds the ids (with the end id) and the text decoded from them; ``model`` is the path of the vocabulary file on every executor."""
+    """Adds the ids (with the end id) and the text decoded from them; ``model`` is the path of the vocabulary file on every executor.
+
+    Earlier columns of the results' names give way.
+    """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids, decoded)])
 
     def run(batches):
         encoder = Encoder(model)
