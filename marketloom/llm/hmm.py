@@ -5,10 +5,10 @@ counts of the whole training corpus are one partial aggregate.  The emission
 alphabet is the ``alphabet`` most frequent types, the end, and a tail symbol
 for every other type; inside the tail a type has a fixed, smoothed share, so
 the model is a proper distribution over all texts.  Baum-Welch statistics are
-summed over partitions: first ``warm`` rounds over a bounded sample of
-training texts find the states, then every round of ``full`` covers the whole
-training corpus.  A text's likelihood comes from the scaled forward recursion
-over all of its tokens; texts of a batch advance together.
+summed over partitions; each of the ``rounds`` covers the whole training corpus,
+in runs of at most ``run`` tokens (a longer text gives several runs, so memory
+and steps do not grow with it).  A text's likelihood comes from the scaled
+forward recursion over all of its tokens; texts of a batch advance together.
 
 Counts of the ``known`` most frequent types (a bounded table) are broadcast;
 all rarer tokens of a text find their counts by a join, so no vocabulary size
@@ -17,7 +17,8 @@ is too large.
 Defined cases: null and empty texts are the end token only; without training
 texts all counts are 0 and the smoothing terms remain; equal texts get equal
 scores; rows that repeat an id are scored row by row; empty tables give empty
-results; only the named columns are read.
+results; only the named columns are read.  Scoring keeps nothing per token of a
+very long text but its symbols and hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.frames import pick
-from marketloom.llm.store import discard, materialise
+from marketloom.llm.store import materialise
 from marketloom.llm.words import buffers, slices, space_words, words
 
 KEEP = space_words()
@@ -44,9 +45,8 @@ class Sizes:
     states: int = 8
     alphabet: int = 1 << 16
     known: int = 1 << 20
-    warm_texts: int = 4000
-    warm: int = 8
-    full: int = 1
+    rounds: int = 4
+    run: int = 256
     smooth: float = 0.1
     prior: float = 100.0
 
@@ -225,17 +225,24 @@ def _lanes(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
 
 
 def _grouped(batches, vocabulary: Vocabulary):
-    """Symbol sequences of several slices together."""
-    held, size = [], 0
+    """Symbols of several slices together, cut into runs of at most ``run`` tokens."""
+    held, size, most = [], 0, vocabulary.sizes.run
+
+    def out():
+        lengths = np.concatenate([n for _, n in held])
+        runs = -(-lengths // most)
+        cut = np.full(int(runs.sum()), most)
+        cut[np.cumsum(runs) - 1] = lengths - most * (runs - 1)
+        return np.concatenate([s for s, _ in held]), np.concatenate([[0], np.cumsum(cut)])
+
     for _, tokens, first in token_lists(batches):
-        symbols = vocabulary.symbols(tokens, vocabulary.types.find(tokens))
-        held.append((symbols, np.diff(first)))
+        held.append((vocabulary.symbols(tokens, vocabulary.types.find(tokens)), np.diff(first)))
         size += len(tokens)
         if size >= GROUP_TOKENS:
-            yield np.concatenate([s for s, _ in held]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in held]))])
+            yield out()
             held, size = [], 0
     if held:
-        yield np.concatenate([s for s, _ in held]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in held]))])
+        yield out()
 
 
 def baum_welch(texts: DataFrame, vocabulary, model: Hmm, unigram: np.ndarray, prior: float) -> Hmm:
@@ -271,14 +278,9 @@ def learn(train: DataFrame, counts: DataFrame, sizes: Sizes = Sizes()):
     top = counts.orderBy(F.desc("c"), "token").limit(sizes.known).toArrow()  # bounded by sizes.known
     vocabulary = Vocabulary(totals["n"], totals["v"], top["token"].to_numpy().view(np.uint64), top["c"].to_numpy(), sizes)
     shared = spark.sparkContext.broadcast(vocabulary)
-    ids = train.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sizes.warm_texts).distinct()
-    sample = materialise(train.join(F.broadcast(ids), "doc_id", "left_semi").select("text").repartition(4), "warm")
     model = Hmm.begin(vocabulary.unigram, sizes.states)
-    for _ in range(sizes.warm):
-        model = baum_welch(sample, shared, model, vocabulary.unigram, sizes.prior)
-    for _ in range(sizes.full):
+    for _ in range(sizes.rounds):
         model = baum_welch(train, shared, model, vocabulary.unigram, sizes.prior)
-    discard(sample)
     return shared, model
 
 

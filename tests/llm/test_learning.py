@@ -64,12 +64,80 @@ def test_toxicity_awkward(spark, docs, empty, labels):
     assert fitted.score(empty.drop("score")).count() == 0
 
 
+def test_toxicity_of_few_labels(spark):
+    """Any labelled table gives scores, however few rows of each kind it has."""
+    docs, labels = examples(spark, 120)
+    kinds = {k: [r.doc_id for r in labels.where(f"toxic = {k}").orderBy("doc_id").collect()] for k in (0, 1)}
+    for few, many in ((0, 4), (1, 30), (5, 5), (6, 6), (7, 40)):
+        ids = kinds[1][:few] + kinds[0][:many]
+        model = toxicity.learn(docs, labels.where(F.col("doc_id").isin(ids)), F.lit(True), trees=2)
+        scores = [r.score for r in model.score(docs).collect()]
+        assert len(scores) == 120 and all(0 <= s <= 1 for s in scores)
+        assert (model.trees is None) == (few < 6)
+        if few < 6:
+            assert set(scores) == {few / (few + many)}
+
+
+def test_sample_counts_rows(spark):
+    """The bound holds for rows: an id with more rows than the bound is no example."""
+    from marketloom.llm.labelled import sample
+
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(50)] + [(i, "x") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 30)], "doc_id long, quality int")
+    got = sample(docs, labels, "quality", F.lit(True), 20).collect()
+    assert len(got) == 20 and all(r.doc_id > 1 for r in got)
+    assert sample(docs, labels, "quality", F.lit(True), 100).count() == 78
+
+
+def test_dense_features(spark):
+    """The vectorised features against one document after another."""
+    texts = ["You utter blorgling! blorg", "", "plain words here", "b1org you YOU!! are a-b", "no second person blorg x x x x x x x x you"]
+    lexicon = toxicity.Lexicon(toxicity._hashes(["blorg"]), np.array([2.0]))
+    raw = [t.encode() for t in texts]
+    x = toxicity.dense(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), lexicon, toxicity._hashes(toxicity.SECOND_PERSON))
+    for t, row in zip(texts, x, strict=True):
+        got = dict(zip(toxicity.FEATURES, row.tolist(), strict=True))
+        w = re.findall(r"[0-9a-z]+", t.lower())
+        hits, you = [i for i, a in enumerate(w) if a == "blorg"], [i for i, a in enumerate(w) if a == "you"]
+        near = [i for i in hits if any(abs(i - j) <= toxicity.NEAR for j in you)]
+        inner = [i for i in range(1, len(t) - 1) if not t[i].isalpha() and t[i] != " " and t[i - 1].isalpha() and t[i + 1].isalpha()]
+        n, size = max(1, len(w)), max(1, len(t))
+        want = {"lexicon_density": len(hits) / n, "lexicon_weight": 2 * len(hits) / n, "heaviest": 2.0 * bool(hits), "log_hits": math.log1p(len(hits)), "second_person": len(you) / n, "near_share": len(near) / max(1, len(hits)), "capitals": sum(c.isupper() for c in t) / size, "punctuation": sum(not c.isalnum() and c != " " for c in t) / size, "exclamations": t.count("!") / size, "obfuscation": len(inner) / size, "log_words": math.log1p(len(w))}
+        assert all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want), (t, got, want)
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    examples_ = []
+    for _ in range(30):
+        slots = np.unique(rng.integers(0, 50, 6))
+        examples_.append((slots, rng.random(len(slots)), int(rng.integers(2))))
+    rule = quality.Ftrl(epochs=2)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= rule.l1 else -(z[i] - math.copysign(rule.l1, z[i])) / ((rule.beta + math.sqrt(n[i])) / rule.alpha + rule.l2)
+
+    for _ in range(2):
+        for slots, vals, y in examples_:
+            x = {**dict(zip(slots.tolist(), vals.tolist(), strict=True)), 1 << quality.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / rule.alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    got = rule.fit(examples_)
+    assert all(math.isclose(got[i], weight(i), rel_tol=1e-9, abs_tol=1e-12) for i in [*range(50), 1 << quality.BITS])
+
+
 def tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
 
 
 def test_hmm_base(spark, docs, empty):
-    sizes = hmm.Sizes(states=3, alphabet=16, known=40, warm_texts=5, warm=2)
+    sizes = hmm.Sizes(states=3, alphabet=16, known=40, rounds=2, run=7)
     rows = [r for r in docs.select("doc_id", "text").collect()]
     fold = lambda i: -1 if i is None else zlib.crc32(str(i).encode()) % 10
     c = Counter(w for r in rows if fold(r.doc_id) for w in tokens(r.text))
