@@ -124,3 +124,72 @@ def parse_age_hours(text: Column) -> Column:
     unit = F.regexp_extract(t, r"\d+\s*(second|minute|min|hour|day|week|month|year|mo|s|m|h|d|w|y)", 1)
     hours = F.when(unit.isin("second", "s"), 1 / 3600).when(unit.isin("minute", "min", "m"), 1 / 60).when(unit.isin("hour", "h"), 1.0).when(unit.isin("day", "d"), 24.0).when(unit.isin("week", "w"), 168.0).when(unit.isin("month", "mo"), 730.0).when(unit.isin("year", "y"), 8760.0)
     return F.when(n != "", n.cast("double")) * hours
+
+
+#: Words at which Persian spellings are joined or split, and the letters that vary.
+FAMILY = ("آأإٱيىكةؤئ", "ااااییکهوی")
+
+
+def family_key(text: Column) -> Column:
+    """One key for the spellings of a Persian term: one letter form, no joiners, marks or blanks."""
+    return F.regexp_replace(F.translate(F.lower(text), FAMILY[0], FAMILY[1]), r"[\u200c\u064b-\u0652\u0670\u0640\s-]+", "")
+
+
+def hashes(text: Column) -> Column:
+    """struct(sha1, md5, sha256): the short digests that name texts, keys and cache entries."""
+    return F.struct(F.substring(F.sha1(text), 1, 16).alias("sha1"), F.md5(text).alias("md5"), F.substring(F.sha2(text, 256), 1, 16).alias("sha256"))
+
+
+def clean_title(text: Column, most: int = 15) -> Column:
+    """The first line without addresses, handles and repeated blanks, cut after ``most`` words."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(title_of(text), r"https?://\S+|[@#]\w+", " "), r"\s+", " "))
+    w = F.split(plain, " ")
+    return F.when(F.size(w) > most, F.concat(F.array_join(F.slice(w, 1, most), " "), F.lit("…"))).otherwise(plain)
+
+
+def boilerplate(sentence: Column, pattern: str = r"(?i)read more|click here|subscribe|sign up|follow us|all rights reserved|https?://") -> Column:
+    """Sentences that carry no news: addresses, calls to action, fewer than four words."""
+    return F.coalesce(sentence.rlike(pattern) | (F.size(words(sentence)) < 4), F.lit(True))
+
+
+def phrases(text: Column, known: list[str], most: int = 8) -> Column:
+    """Known phrases of three, two or one word in a text, longest first, each once."""
+    w = words(F.coalesce(text, F.lit("")))
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    found = [F.array_intersect(gram(n), F.array(*[F.lit(p) for p in known if len(p.split()) == n])) for n in (3, 2, 1) if any(len(p.split()) == n for p in known)]
+    return F.slice(F.array_distinct(F.concat(*found)), 1, most)
+
+
+def ago(hours: Column) -> Column:
+    """'just now', minutes, hours (halves to even) or days ago."""
+    minutes = F.greatest(F.lit(1), F.floor(hours * 60).cast("int"))
+    return F.when(hours.isNull(), "").when(hours < 1 / 60, "just now").when(hours < 1, F.concat(minutes.cast("string"), F.lit(" min ago"))).when(hours < 24, F.concat(F.bround(hours, 0).cast("int").cast("string"), F.lit(" h ago"))).otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit(" d ago")))
+
+
+def format_count(value: Column) -> Column:
+    """1234 as 1.2K, and so on; one decimal, none below a thousand."""
+    out = F.format_string("%.0f", value.cast("double"))
+    for limit, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
+        out = F.when(F.abs(value) >= limit, F.concat(F.format_string("%.1f", value / limit), F.lit(unit))).otherwise(out)
+    return out
+
+
+def string_or_array(value: Column) -> Column:
+    """A JSON array of strings, or a comma list, as upper-case trimmed entries."""
+    listed = F.from_json(value, "array<string>")
+    return F.filter(F.transform(F.coalesce(listed, F.split(F.coalesce(value, F.lit("")), ",")), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+
+
+def url_matches(url: Column, title: Column, least: int = 3, share: float = 0.34) -> Column:
+    """Whether an address names a headline: a longer token of it in the path, and enough tokens altogether."""
+    path = F.split(F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))), "[^a-z0-9]+", " "), " ")
+    t = tokens(F.coalesce(title, F.lit("")))
+    hits = F.array_intersect(t, path)
+    return F.exists(hits, lambda w: F.length(w) >= 5) & (F.size(hits) >= F.greatest(F.lit(least), F.ceil(F.size(t) * share)))
+
+
+def prose_lines(text: Column, least: int = 55, letters: float = 0.72) -> Column:
+    """Lines of a markdown text that read as prose: long enough and mostly letters and blanks, links reduced to their words."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"(?m)^\s*(?:[#>*-]+|\d+\.)\s*", "")
+    good = lambda x: (F.length(x) >= least) & (F.length(F.regexp_replace(x, r"[^\p{L}\s]", "")) >= letters * F.length(x))
+    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), good)

@@ -7,14 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def checkpoints(events: DataFrame, ticks: DataFrame, hours: tuple[int, ...] = (1, 4, 24), slack: int = 240) -> DataFrame:
+def checkpoints(events: DataFrame, ticks: DataFrame, hours: tuple[int, ...] = (1, 4, 24)) -> DataFrame:
     """First price at or after each horizon, for events (id, symbol, ts) and ticks (symbol, ts, price, tick).
 
     Horizons and ticks are sorted together inside hours of a symbol, so a
     horizon finds the first tick after it in one running minimum.  Hours
     without a later tick take the first tick of the next hour that has one,
-    at most ``slack`` hours on; the first tick of every hour is a partial
-    minimum, so that join sees one row for each hour.
+    whatever the delay; the first tick of every hour is a partial minimum, and
+    a running minimum over a symbol's hours carries it back.
     """
     hour = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 3600)
     tick = F.struct("ts", "tick", "price")
@@ -25,7 +25,9 @@ def checkpoints(events: DataFrame, ticks: DataFrame, hours: tuple[int, ...] = (1
     found = both.withColumn("first", F.min("p").over(backwards)).where("h is not null").select("id", "symbol", "h", "bucket", "first")
     firsts = ticks.withColumn("b", hour("ts")).groupBy("symbol", "b").agg(F.min(tick).alias("q"))
     open_ = found.where("first is null").select("symbol", "bucket").distinct()
-    later = open_.join(firsts, "symbol").where(f"b > bucket and b <= bucket + {slack}").groupBy("symbol", "bucket").agg(F.min("q").alias("next"))
+    hours_ = open_.unionByName(firsts.select("symbol", F.col("b").alias("bucket"), "q"), allowMissingColumns=True)
+    after = W.partitionBy("symbol").orderBy(F.desc("bucket")).rangeBetween(W.unboundedPreceding, -1)
+    later = hours_.withColumn("next", F.min("q").over(after)).where("q is null").select("symbol", "bucket", "next")
     placed = found.join(later, ["symbol", "bucket"], "left").withColumn("p", F.coalesce("first", "next")).where("p is not null")
     return placed.select("id", "h", F.col("p.price").alias("price_after"), F.col("p.ts").alias("at"))
 

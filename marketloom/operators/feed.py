@@ -5,9 +5,13 @@ from __future__ import annotations
 import shlex
 from dataclasses import dataclass, field
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.store import discard, materialise
+
 from marketloom.functions.text import title_key
 
 
@@ -80,17 +84,51 @@ def greedy_dedup(pairs: DataFrame, items: DataFrame, key: str) -> DataFrame:
 
     An item stays when no earlier neighbour stays.  Each round settles all
     items whose earlier neighbours are all settled, so rounds are bounded by
-    the longest chain of earlier neighbours.
+    the longest chain of earlier neighbours; each is a table in the shared
+    folder, and the tables before it are removed.
     """
-    spark = items.sparkSession
-    links = pairs.select("a", "b").distinct().checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else pairs.select("a", "b").distinct().cache()
-    linked = links.select(F.col("b").alias(key)).distinct()
-    settled = items.select(key).join(linked, key, "left_anti").withColumn("stays", F.lit(True))
-    open_ = linked
-    while not open_.isEmpty():
-        state = links.join(settled, links["a"] == settled[key], "left").groupBy(F.col("b").alias(key)).agg(F.max(F.coalesce(F.col("stays"), F.lit(False))).alias("blocked"), F.max(F.col("stays").isNull()).alias("waits"))
-        now = state.join(open_, key, "left_semi").where("blocked or not waits").select(key, (~F.col("blocked")).alias("stays"))
-        settled = settled.unionAll(now)
-        settled = settled.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else settled.cache()
+    links = materialise(pairs.select("a", "b").distinct(), "links")
+    linked = materialise(links.select(F.col("b").alias(key)).distinct(), "linked")
+    settled = materialise(links.select(F.col("a").alias(key)).distinct().join(linked, key, "left_anti").withColumn("stays", F.lit(True)), "settled")
+    while True:
         open_ = linked.join(settled, key, "left_anti")
-    return items.join(settled.where("stays").select(key), key, "left_semi")
+        state = links.join(open_.select(F.col(key).alias("b")), "b", "left_semi").join(settled, F.col("a") == F.col(key), "left").groupBy("b").agg(F.max(F.coalesce("stays", F.lit(False))).alias("blocked"), F.max(F.col("stays").isNull()).alias("waits"))
+        now = materialise(state.where("blocked or not waits").select(F.col("b").alias(key), (~F.col("blocked")).alias("stays")), "now")
+        if now.isEmpty():
+            break
+        both = materialise(settled.unionAll(now), "settled")
+        discard(settled)
+        discard(now)
+        settled = both
+    out = items.join(settled.where("not stays").select(key), key, "left_anti")
+    discard(links)
+    discard(linked)
+    return out
+
+
+def first_wins(rows: DataFrame, keys: list, order: list, name: str) -> DataFrame:
+    """Rows of which no earlier row *that stays* has the same value in any of the keys; null keys never match.
+
+    A row that is first under all of its keys stays; rows that share a key
+    with it leave; the rest is tried again.  ``order`` and then ``name``, a
+    unique column, make the order; each round is two partial minima and joins
+    on ``name`` and keys, whatever the number of rows with one key.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    small = rows.select(F.col(name).alias("id"), F.struct(*order, F.col(name)).alias("o"), *[k.cast("string").alias(n) for n, k in zip(names, keys, strict=True)])
+    open_, kept = materialise(small, "open"), []
+    while not open_.isEmpty():
+        state = open_
+        for n in names:
+            first = open_.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("o").alias(f"first_{n}"))
+            state = state.join(first, n, "left")
+        leads = materialise(state.where(" and ".join(f"({n} is null or first_{n} = o)" for n in names)).select("id", *names), "leads")
+        kept.append(leads)
+        rest = open_.join(leads.select("id"), "id", "left_anti")
+        for n in names:
+            rest = rest.join(leads.where(F.col(n).isNotNull()).select(n), n, "left_anti")
+        after = materialise(rest.select("id", "o", *names), "open")
+        discard(open_)
+        open_ = after
+    stay = reduce(lambda a, b: a.unionByName(b), [k.select("id") for k in kept]) if kept else open_.select("id")
+    return rows.join(stay.select(F.col("id").alias(name)), name, "left_semi")

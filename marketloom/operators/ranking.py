@@ -13,6 +13,24 @@ def upper_median(values: Column) -> Column:
     return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
 
 
+def upper_medians(df: DataFrame, group: str, value: str, into: str, cells: int = 1024) -> DataFrame:
+    """(group, into): the upper median of each group's values.
+
+    Distinct values are counted in ``cells`` ranges between a group's least and
+    largest value; only the range with the middle is then put in order, so no
+    group is gathered unless all its values lie in one range.
+    """
+    v = df.groupBy(group, value).agg(F.count("*").alias("m"))
+    span = v.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("m").alias("n"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(cells - 1), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells))).otherwise(0)
+    placed = v.join(span, group).withColumn("cell", cell).withColumn("want", F.floor(F.col("n") / 2) + 1)
+    sizes = placed.groupBy(group, "cell", "want").agg(F.sum("m").alias("c"))
+    sizes = sizes.withColumn("upto", F.sum("c").over(W.partitionBy(group).orderBy("cell")))
+    middle = sizes.where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want"))).select(group, "cell", (F.col("want") - F.col("upto") + F.col("c")).alias("rest"))
+    inside = placed.join(middle, [group, "cell"]).withColumn("run", F.sum("m").over(W.partitionBy(group).orderBy(value)))
+    return inside.where(F.col("run") >= F.col("rest")).groupBy(group).agg(F.min(value).alias(into))
+
+
 def midrank(df: DataFrame, value: str, into: str = "pct", ranges: int = 64) -> DataFrame:
     """Mid-rank share of positive values in the whole frame, ties averaged; others 0.
 

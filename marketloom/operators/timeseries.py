@@ -46,11 +46,11 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 
 def stochastic(bars: DataFrame, n: int = 14, d: int = 3) -> DataFrame:
-    """%K of the frame (50 when flat) and %D, its mean over d bars."""
+    """%K of the frame (50 when flat, two decimals) and %D, the mean of d rounded %K, rounded too."""
     hi, lo = F.max("high").over(_frame(n)), F.min("low").over(_frame(n))
     k = full(n, F.when(hi > lo, (F.col("close") - lo) / (hi - lo) * 100).otherwise(50.0))
-    out = bars.withColumn("k", k)
-    return out.withColumn("d", F.when(F.count("k").over(_frame(d)) == d, F.avg("k").over(_frame(d))))
+    out = bars.withColumn("k", F.round(k, 2))
+    return out.withColumn("d", F.when(F.count("k").over(_frame(d)) == d, F.round(F.avg("k").over(_frame(d)), 2)))
 
 
 def pct_change(bars: DataFrame, n: int = 7) -> DataFrame:
@@ -99,6 +99,27 @@ def ema_series(values: Column, p: int) -> Column:
     return F.when(F.size(values) >= p, F.aggregate(rest, F.array(_mean(F.slice(values, 1, p))), lambda a, x: F.concat(a, F.array(x * k + F.element_at(a, -1) * (1 - k)))))
 
 
+def ema_aligned(values: Column, p: int) -> Column:
+    """The exponential means with nulls before the p-th value, as long as the values."""
+    pad = F.array_repeat(F.lit(None).cast("double"), F.least(F.size(values), F.lit(p - 1)))
+    return F.concat(pad, F.coalesce(ema_series(values, p), F.array().cast("array<double>")))
+
+
+def tail(rows: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` bars of every symbol."""
+    rn = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("bucket")))
+    return rows.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")
+
+
+def rsi_series(values: Column, p: int = 14) -> Column:
+    """Relative strength of every bar from the p-th change on; unlike the latest value, a flat series has 100."""
+    d = deltas(values)
+    gains, losses = (F.transform(d, lambda x, sign=sign: F.greatest(x * sign, F.lit(0.0))) for sign in (1, -1))
+    at = F.sequence(F.lit(p), F.size(d))
+    part = lambda side, i: wilder(F.slice(side, F.lit(1), i), p)
+    return F.when(F.size(d) >= p, F.transform(at, lambda i: F.when(part(losses, i) == 0, 100.0).otherwise(100 - 100 / (1 + part(gains, i) / F.nullif(part(losses, i), F.lit(0.0))))))
+
+
 def wilder(values: Column, p: int) -> Column:
     """Wilder's mean: the mean of the first p, then (p - 1) parts old and one part new."""
     return F.when(F.size(values) >= p, F.aggregate(F.slice(values, F.lit(p + 1), F.greatest(F.lit(0), F.size(values) - p)), _mean(F.slice(values, 1, p)), lambda a, x: (a * (p - 1) + x) / p))
@@ -145,7 +166,7 @@ def snapshot(bars: DataFrame) -> DataFrame:
     tail = lambda x, a, n: F.slice(x, F.size(x) - a + 1, n)
     ratio = F.when(F.size(v) >= 30, _mean(tail(v, 7, 7)) / F.nullif(_mean(tail(v, 30, 23)), F.lit(0.0)))
     m = macd(c)
-    return s.select("symbol", F.size(c).alias("bars"), F.element_at(c, -1).alias("price"), ema(c, 20).alias("ema_20"), rsi(c).alias("rsi_14"), m["macd"].alias("macd"), m["signal"].alias("macd_signal"), m["hist"].alias("macd_hist"), atr(F.col("highs"), F.col("lows"), c).alias("atr_14"), change(c, 7).alias("chg_7"), change(c, 30).alias("chg_30"), ratio.alias("volume_ratio"))
+    return s.select("symbol", F.size(c).alias("bars"), F.element_at(c, -1).alias("price"), ema(c, 20).alias("ema_20"), rsi(c).alias("rsi_14"), m["macd"].alias("macd"), m["signal"].alias("macd_signal"), m["hist"].alias("macd_hist"), atr(F.col("highs"), F.col("lows"), c).alias("atr_14"), change(c, 7).alias("chg_7"), change(c, 30).alias("chg_30"), change(c, 90).alias("chg_90"), ratio.alias("volume_ratio"))
 
 
 # ---- anomalies of counts per cycle
@@ -166,11 +187,23 @@ def volume_zscore(counts: DataFrame, window: int = 30, threshold: float = 2.5, s
     return counts.withColumn("z", z).withColumn("severity", F.when(F.col("z") >= severe, "high").when(F.col("z") >= threshold, "medium").otherwise("none"))
 
 
-def crossover(scores: DataFrame, short: int = 5, long: int = 20, band: float = 0.05, least: int = 10) -> DataFrame:
-    """(symbol, fast, slow, momentum, prediction) of the last cycle of (symbol, cycle, score)."""
+def crossover(scores: DataFrame, short: int = 5, long: int = 20, band: float = 0.05, push: float = 0.1, least: int = 10) -> DataFrame:
+    """(symbol, points, fast, slow, momentum, prediction, confidence) of the last cycle of (symbol, cycle, score).
+
+    A prediction needs the means ``band`` apart and a momentum beyond ``push``:
+    the change over the last ten scores against the first of them (0.01 at
+    least), bounded by 1.  Symbols with fewer than ``least`` scores are neutral,
+    without numbers.
+    """
     order = W.partitionBy("symbol").orderBy("cycle")
     f, s = F.avg("score").over(order.rowsBetween(1 - short, 0)), F.avg("score").over(order.rowsBetween(1 - long, 0))
-    rows = scores.withColumn("fast", f).withColumn("slow", s).withColumn("momentum", F.col("score") - F.lag("score", least - 1).over(order)).withColumn("points", F.count("*").over(order))
+    first = F.lag("score", 9).over(order)
+    momentum = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("score") - first) / F.greatest(F.abs(first), F.lit(0.01))))
+    rows = scores.withColumn("fast", f).withColumn("slow", s).withColumn("momentum", momentum).withColumn("points", F.count("*").over(order))
     last = rows.withColumn("rn", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("cycle")))).where("rn = 1")
-    gap = F.col("fast") - F.col("slow")
-    return last.select("symbol", "fast", "slow", "momentum", F.when(F.col("points") < least, "neutral").when(gap > band, "bullish").when(gap < -band, "bearish").otherwise("neutral").alias("prediction"))
+    gap, m = F.col("fast") - F.col("slow"), F.col("momentum")
+    guess = F.when((gap > band) & (m > push), "bullish").when((gap < -band) & (m < -push), "bearish").otherwise("neutral")
+    sure = F.when(guess == "neutral", 1.0 - F.least(F.lit(1.0), F.abs(gap) * 5)).otherwise(F.least(F.lit(1.0), F.abs(gap) * 5 + F.abs(m)))
+    few = F.col("points") < least
+    known = lambda c: F.when(~few, c)
+    return last.select("symbol", "points", *[known(F.col(c)).alias(c) for c in ("fast", "slow", "momentum")], F.when(few, "neutral").otherwise(guess).alias("prediction"), F.when(few, 0.0).otherwise(sure).alias("confidence"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +52,7 @@ def _list(ws) -> str:
 
 
 POLARITY = f"""(SELECT CASE WHEN bull + bear > 0 THEN (bull - bear)::DOUBLE / (bull + bear) ELSE 0 END FROM (SELECT
-  len(list_intersect(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')), {_list(scoring.BULLISH)})) + {" + ".join(f"contains(lower(coalesce(text, '')), '{p}')::INT" for p in scoring.BULLISH_PHRASES)} AS bull,
+  len(list_intersect(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')), {_list(scoring.BULLISH)})) + {" + ".join(f"contains(lower(coalesce(text, '')), '{p}')::INT" for p in scoring.BULLISH if " " in p)} AS bull,
   len(list_intersect(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')), {_list(scoring.BEARISH)})) AS bear))"""
 
 
@@ -83,6 +82,10 @@ def hygiene_reasons(s, d):
     return hygiene_filter(s, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _quoted(p: str) -> str:
+    return p.replace("'", "''")
+
+
 def _topic_sql() -> str:
     cases = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{t}'" for t, p in scoring.TOPICS.items())
     return f"SELECT doc_id, CASE {cases} ELSE 'general' END AS topic FROM documents"
@@ -101,18 +104,21 @@ def asset_mentions(s, d):
 
 
 @query(rf"""WITH a AS (SELECT doc_id, trim({TITLE}) AS title, trim(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END) AS summary,
-  coalesce(quality, 0) * 0.36 + 0.6 AS trust, (doc_id % 96)::DOUBLE AS age FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
-r AS (SELECT *, CASE WHEN length(title) < 20 THEN 'title_too_short' WHEN regexp_matches(title || ' ' || summary, '(?i){scoring.SPONSORED}') THEN 'sponsored'
-  WHEN regexp_matches(title, '(?i){scoring.SPAM}') THEN 'spam_topic' WHEN regexp_matches(title, '(?i){scoring.SEO}') THEN 'seo_page' WHEN age > 72 THEN 'stale' END AS reason FROM a)
-SELECT doc_id, reason, CASE WHEN reason IS NOT NULL THEN 0 ELSE greatest(0.05, least(1.0, (trust - CASE WHEN regexp_matches(title, '(?i){scoring.CLICKBAIT}') THEN 0.15 ELSE 0 END
-  - CASE WHEN length(summary) < 40 THEN 0.2 ELSE 0 END - CASE WHEN regexp_matches(title || ' ' || summary, '(?i){scoring.RISKY}') THEN 0.1 ELSE 0 END)
-  * CASE WHEN age <= 6 THEN 1.0 WHEN age <= 24 THEN 0.96 WHEN age <= 48 THEN 0.9 ELSE 0.84 END)) END::DOUBLE AS score FROM r""")
+  coalesce(quality, 0) * 0.36 + 0.6 AS trust, (doc_id % 96)::DOUBLE AS age, CASE WHEN doc_id % 7 = 0 THEN 'https://x.y/press release' ELSE 'https://x.y/a' END AS link FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+r AS (SELECT *, CASE WHEN length(title) < 20 THEN 'title_too_short' WHEN regexp_matches(title || ' ' || summary, '(?i){_quoted(scoring.SPONSORED)}') THEN 'sponsored'
+  WHEN regexp_matches(title, '(?i){_quoted(scoring.SPAM)}') THEN 'spam_topic' WHEN regexp_matches(title, '(?i){_quoted(scoring.SEO)}') THEN 'seo_page' WHEN age > 72 THEN 'stale' END AS reason FROM a)
+SELECT doc_id, reason, CASE WHEN reason IS NOT NULL THEN 0 ELSE round(greatest(0.05, least(1.0, (trust - CASE WHEN regexp_matches(title, '(?i){_quoted(scoring.CLICKBAIT)}') THEN 0.15 ELSE 0 END
+  - CASE WHEN length(summary) < 40 THEN 0.2 ELSE 0 END - CASE WHEN regexp_matches(title || ' ' || summary, '(?i){_quoted(scoring.RISKY)}') THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches(link, '(?i){_quoted(scoring.SPONSORED)}') THEN 0.35 ELSE 0 END)
+  * CASE WHEN age <= 6 THEN 1.0 WHEN age <= 24 THEN 0.96 WHEN age <= 48 THEN 0.9 ELSE 0.84 END)), 3) END::DOUBLE AS score FROM r""")
 def credibility_score(s, d):
-    """Rejection reason or credibility of each article; the labels stand in for trust, ids for ages."""
+    """Rejection reason or credibility of each article; the labels stand in for trust, ids for ages and links."""
+    link = F.when(F.col("doc_id") % 7 == 0, "https://x.y/press release").otherwise("https://x.y/a")
+    score = lambda trust: scoring.credibility(text.title_of(F.col("text")), text.summary_of(F.col("text")), F.lit(trust), (F.col("doc_id") % 96).cast("double"), link=link)
+    # what the texts give is made before the join, so that no text is shuffled: for either trust
+    sides = [score(0.6).alias("no"), score(0.96).alias("yes")]
     trust = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs(s, d).join(trust, "doc_id", "left")
-    c = scoring.credibility(text.title_of(F.col("text")), text.summary_of(F.col("text")), F.coalesce("quality", F.lit(0)) * 0.36 + 0.6, (F.col("doc_id") % 96).cast("double"))
-    return rows.select("doc_id", c.alias("c")).select("doc_id", "c.reason", "c.score")
+    rows = docs(s, d).select("doc_id", *sides).join(trust, "doc_id", "left").withColumn("c", F.when(F.col("quality") == 1, F.col("yes")).otherwise(F.col("no")))
+    return rows.select("doc_id", "c.reason", "c.score")
 
 
 @query("SELECT page_id, substr(md5(lower(trim(url)) || '|' || url), 1, 12) AS id FROM pages")
@@ -165,14 +171,13 @@ def argmax_claim(s, d):
     return best.select("item_id", F.col("best.doc_id").alias("doc_id"), (-F.col("best.minus")).alias("hits"))
 
 
-@query(f"""WITH t AS (SELECT doc_id AS k, source, unnest({TOKENS.format(TITLE)}) AS w FROM documents WHERE doc_id % 1 = 0 AND length({TITLE}) <= 120), n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
+@query(f"""WITH t AS (SELECT doc_id AS k, source, unnest({TOKENS.format(TITLE)}) AS w FROM documents), n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
 p AS (SELECT a.k AS x, b.k AS y, any_value(b.source) AS other, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.k <> b.k GROUP BY a.k, b.k HAVING count(*) >= 3)
-SELECT d.doc_id, count(DISTINCT CASE WHEN shared::DOUBLE / least(nx.n, ny.n) >= 0.34 THEN other END) AS sources FROM (SELECT * FROM documents WHERE length({TITLE}) <= 120) d
+SELECT d.doc_id, count(DISTINCT CASE WHEN shared::DOUBLE / least(nx.n, ny.n) >= 0.34 THEN other END) AS sources FROM documents d
 LEFT JOIN p ON p.x = d.doc_id LEFT JOIN n nx ON nx.k = p.x LEFT JOIN n ny ON ny.k = p.y GROUP BY d.doc_id""")
 def coverage_counts(s, d):
-    """In how many other sources each headline's words are shared (first lines of headline length)."""
-    t = docs(s, d).withColumn("title", text.title_of(F.col("text"))).where(F.length("title") <= 120)
-    return similarity.coverage(t, "doc_id", "title", "source")
+    """In how many other sources each headline's words are shared."""
+    return similarity.coverage(docs(s, d).withColumn("title", text.title_of(F.col("text"))), "doc_id", "title", "source")
 
 
 @query(f"""WITH t AS (SELECT item_id AS k, w, count(*) AS tf FROM (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark) GROUP BY ALL), n AS (SELECT k, sqrt(sum(tf * tf)) AS norm FROM t GROUP BY k)
@@ -222,13 +227,11 @@ def vocab_full_outer(s, d):
     return both.select("word", F.coalesce("wiki", F.lit(0)).alias("wiki"), F.coalesce("feed", F.lit(0)).alias("feed")).withColumn("total", F.col("wiki") + F.col("feed")).where("total >= 10")
 
 
-@query(r"""WITH t AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.text, b.text) AS distance FROM t a JOIN t b ON a.item_id % 10 = b.item_id % 10 AND a.item_id < b.item_id""")
+@query()
 def edit_distance(s, d):
-    """Edit distances of reference items inside blocks of ids."""
-    b = table(s, d, "benchmark").withColumn("block", F.col("item_id") % 10).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
-    x, y = b.select("block", F.col("item_id").alias("a"), F.col("text").alias("ta")), b.select("block", F.col("item_id").alias("b"), F.col("text").alias("tb"))
-    return x.join(y, "block").where("a < b").select("a", "b", F.levenshtein("ta", "tb").alias("distance"))
+    """Edit distance of every reference item to the item after it, which stands for its reference text."""
+    b = table(s, d, "benchmark")
+    return similarity.edit_distances(b, b.select((F.col("item_id") - 1).alias("item_id"), "text"), "item_id", "text")
 
 
 @query()
@@ -245,14 +248,16 @@ SEARCH = ("the", "ther")
   UNION ALL SELECT doc_id, unnest(list_distinct(list_filter({WORDS.format("CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END")}, lambda w: len(w) >= 2))), 1.0 FROM documents
   UNION ALL SELECT doc_id, unnest(list_distinct(list_filter({WORDS.format("source")}, lambda w: len(w) >= 2))), 0.4 FROM documents) GROUP BY ALL),
 q AS (SELECT unnest(['the', 'ther']) AS q), h AS (SELECT q, term, doc_id, w FROM p JOIN q ON starts_with(term, q)), f AS (SELECT q, term, count(*) AS df FROM h GROUP BY ALL),
-e AS (SELECT doc_id, q, max(ln(1 + (SELECT count(*) FROM documents)::DOUBLE / (1 + df)) * (1 + ln(1 + w)) * CASE WHEN term = q THEN 1.6 ELSE 1 END) AS s FROM h JOIN f USING (q, term) GROUP BY ALL),
-r AS (SELECT doc_id, sum(s) * (0.45 + 0.55 * count(*) / 2.0) AS score, count(*) AS matched FROM e GROUP BY doc_id)
-SELECT doc_id, round(score, 6) AS score, matched FROM r WHERE matched = 2""")
+x AS (SELECT q, term, df FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY (term <> q)::INT, df DESC, term) <= 8),
+e AS (SELECT doc_id, q, max(ln(1 + (SELECT count(*) FROM documents)::DOUBLE / (1 + df)) * (1 + ln(1 + w)) * CASE WHEN term = q THEN 1.6 ELSE 1 END) AS s FROM h JOIN x USING (q, term) GROUP BY ALL),
+r AS (SELECT doc_id, sum(s) * (0.45 + 0.55 * count(*) / 2.0) * (0.35 + 0.65 * pow(0.5, (doc_id % 200) / 36.0)) AS score, count(*) AS matched FROM e GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score, matched FROM r WHERE matched = 2 ORDER BY r.score DESC, doc_id LIMIT 100""")
 def search_ranked(s, d):
-    """Articles with both words, by weight of fields, rarity and coverage."""
+    """The best hundred articles with both words, by weight of fields, rarity, coverage and age."""
     a = docs(s, d)
     post = search.postings(a, "doc_id", {"title": text.title_of(F.col("text")), "summary": text.summary_of(F.col("text")), "source": F.col("source")})
-    return search.search(post, "doc_id", a.count(), list(SEARCH)).withColumn("score", F.round("score", 6))
+    ages = a.select("doc_id", (F.col("doc_id") % 200).cast("double").alias("age_hours"))
+    return search.search(post, "doc_id", a.count(), list(SEARCH), ages=ages, limit=100).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -287,11 +292,11 @@ def bollinger_20(s, d):
     return timeseries.bollinger(bars(s, d)).select("symbol", "bucket", *[F.round(c, 5).alias(c) for c in ("mid", "upper", "lower")])
 
 
-@query(f"""WITH {BARS}, w AS (SELECT symbol, bucket, CASE WHEN count(*) OVER w = 14 THEN CASE WHEN max(high) OVER w > min(low) OVER w THEN (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) * 100 ELSE 50 END END AS k
+@query(f"""WITH {BARS}, w AS (SELECT symbol, bucket, CASE WHEN count(*) OVER w = 14 THEN round(CASE WHEN max(high) OVER w > min(low) OVER w THEN (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) * 100 ELSE 50 END, 2) END AS k
 FROM c WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS 13 PRECEDING))
-SELECT symbol, bucket, round(k, 6) AS k, CASE WHEN count(k) OVER v = 3 THEN round(avg(k) OVER v, 6) END AS d FROM w WINDOW v AS (PARTITION BY symbol ORDER BY bucket ROWS 2 PRECEDING)""")
+SELECT symbol, bucket, k, CASE WHEN count(k) OVER v = 3 THEN round(avg(k) OVER v, 2) END AS d FROM w WINDOW v AS (PARTITION BY symbol ORDER BY bucket ROWS 2 PRECEDING)""")
 def stochastic_14(s, d):
-    return timeseries.stochastic(bars(s, d)).select("symbol", "bucket", F.round("k", 6).alias("k"), F.round("d", 6).alias("d"))
+    return timeseries.stochastic(bars(s, d)).select("symbol", "bucket", "k", "d")
 
 
 @query(f"WITH {BARS} SELECT symbol, bucket, round((close - lag(close, 7) OVER w) / nullif(lag(close, 7) OVER w, 0) * 100, 6) AS pct_7 FROM c WINDOW w AS (PARTITION BY symbol ORDER BY bucket)")
@@ -340,15 +345,25 @@ def atr_14(s, d):
     return b.select("symbol", F.round(timeseries.atr(F.col("highs"), F.col("lows"), F.col("closes")), 6).alias("atr_14"))
 
 
-@query(f"WITH {SERIES} SELECT symbol, CASE WHEN len(c) >= 35 THEN round({_ema_sql('c', 12)} - {_ema_sql('c', 26)}, 6) END AS macd FROM s")
+MACD = f"""m AS (SELECT symbol, list_transform(range(26, len(c) + 1), lambda i: {_ema_sql('c[1:i]', 12)} - {_ema_sql('c[1:i]', 26)}) AS line FROM s),
+k AS (SELECT symbol, CASE WHEN len(line) >= 10 THEN line[-1] END AS macd, CASE WHEN len(line) >= 10 THEN {_ema_sql('line', 9)} END AS macd_signal FROM m)"""
+
+
+@query(f"WITH {SERIES}, {MACD} SELECT symbol, round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal, round(macd - macd_signal, 6) AS macd_hist FROM k")
 def macd_12_26_9(s, d):
-    return timeseries.series(bars(s, d)).select("symbol", F.round(timeseries.macd(F.col("closes"))["macd"], 6).alias("macd"))
+    m = timeseries.macd(F.col("closes"))
+    return timeseries.series(bars(s, d)).select("symbol", F.round(m["macd"], 6).alias("macd"), F.round(m["signal"], 6).alias("macd_signal"), F.round(m["hist"], 6).alias("macd_hist"))
 
 
-@query(f"""WITH {SERIES} SELECT symbol, len(c) AS bars, c[-1] AS price, round((c[-1] - c[-8]) / c[-8] * 100, 6) AS chg_7, round((c[-1] - c[-31]) / c[-31] * 100, 6) AS chg_30,
-  CASE WHEN len(v) >= 30 THEN round(list_avg(v[len(v) - 6 :]) / list_avg(v[len(v) - 29 : len(v) - 7]), 6) END AS volume_ratio FROM s""")
+@query(f"""WITH {SERIES}, {MACD}, g AS (SELECT symbol, list_transform(range(2, len(c) + 1), lambda i: greatest(c[i] - c[i - 1], 0)) AS g, list_transform(range(2, len(c) + 1), lambda i: greatest(c[i - 1] - c[i], 0)) AS l,
+  list_transform(range(2, len(c) + 1), lambda i: greatest(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1]))) AS t FROM s)
+SELECT symbol, len(c) AS bars, c[-1] AS price, CASE WHEN len(c) >= 20 THEN round({_ema_sql('c', 20)}, 6) END AS ema_20, CASE WHEN len(g.g) >= 14 THEN round(100 - 100 / (1 + {_wilder_sql('g.g', 14)} / {_wilder_sql('g.l', 14)}), 6) END AS rsi_14,
+  round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal, round(macd - macd_signal, 6) AS macd_hist, CASE WHEN len(t) >= 14 THEN round({_wilder_sql('t', 14)}, 6) END AS atr_14,
+  round((c[-1] - c[-8]) / c[-8] * 100, 6) AS chg_7, round((c[-1] - c[-31]) / c[-31] * 100, 6) AS chg_30, round((c[-1] - c[-91]) / c[-91] * 100, 6) AS chg_90,
+  CASE WHEN len(v) >= 30 THEN round(list_avg(v[len(v) - 6 :]) / list_avg(v[len(v) - 29 : len(v) - 7]), 6) END AS volume_ratio FROM s JOIN g USING (symbol) JOIN k USING (symbol)""")
 def indicator_snapshot(s, d):
-    return timeseries.snapshot(bars(s, d)).select("symbol", F.col("bars").cast("long").alias("bars"), "price", *[F.round(c, 6).alias(c) for c in ("chg_7", "chg_30", "volume_ratio")])
+    out = timeseries.snapshot(bars(s, d))
+    return out.select("symbol", F.col("bars").cast("long").alias("bars"), "price", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("symbol", "bars", "price")])
 
 
 CYCLES = "n AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS cycle, count(*) AS n FROM events GROUP BY ALL)"
@@ -373,12 +388,16 @@ def volume_anomaly_zscore(s, d):
 
 
 @query("""WITH s AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS cycle, avg(value) / 100 AS score FROM events GROUP BY ALL),
-r AS (SELECT *, avg(score) OVER (PARTITION BY symbol ORDER BY cycle ROWS 4 PRECEDING) AS fast, avg(score) OVER (PARTITION BY symbol ORDER BY cycle ROWS 19 PRECEDING) AS slow, score - lag(score, 9) OVER (PARTITION BY symbol ORDER BY cycle) AS momentum,
-  row_number() OVER (PARTITION BY symbol ORDER BY cycle DESC) AS rn, count(*) OVER (PARTITION BY symbol ORDER BY cycle) AS points FROM s)
-SELECT symbol, round(fast, 6) AS fast, round(slow, 6) AS slow, round(momentum, 6) AS momentum, CASE WHEN points < 10 THEN 'neutral' WHEN fast - slow > 0.05 THEN 'bullish' WHEN fast - slow < -0.05 THEN 'bearish' ELSE 'neutral' END AS prediction FROM r WHERE rn = 1""")
+r AS (SELECT *, avg(score) OVER w5 AS fast, avg(score) OVER w20 AS slow, lag(score, 9) OVER w AS first, row_number() OVER (PARTITION BY symbol ORDER BY cycle DESC) AS rn, count(*) OVER (PARTITION BY symbol) AS points FROM s
+  WINDOW w AS (PARTITION BY symbol ORDER BY cycle), w5 AS (PARTITION BY symbol ORDER BY cycle ROWS 4 PRECEDING), w20 AS (PARTITION BY symbol ORDER BY cycle ROWS 19 PRECEDING)),
+m AS (SELECT *, greatest(-1, least(1, (score - first) / greatest(abs(first), 0.01))) AS momentum FROM r WHERE rn = 1 AND points >= 10),
+g AS (SELECT *, CASE WHEN fast > slow + 0.05 AND momentum > 0.1 THEN 'bullish' WHEN fast < slow - 0.05 AND momentum < -0.1 THEN 'bearish' ELSE 'neutral' END AS prediction FROM m)
+SELECT symbol, points, round(fast, 6) AS fast, round(slow, 6) AS slow, round(momentum, 6) AS momentum, prediction,
+  round(CASE WHEN prediction = 'neutral' THEN 1 - least(1, abs(fast - slow) * 5) ELSE least(1, abs(fast - slow) * 5 + abs(momentum)) END, 6) AS confidence FROM g
+UNION ALL SELECT symbol, points, NULL, NULL, NULL, 'neutral', 0 FROM r WHERE rn = 1 AND points < 10""")
 def ma_crossover_prediction(s, d):
     scores = table(s, d, "events").groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("cycle")).agg((F.avg("value") / 100).alias("score"))
-    return timeseries.crossover(scores).select("symbol", *[F.round(c, 6).alias(c) for c in ("fast", "slow", "momentum")], "prediction")
+    return timeseries.crossover(scores).select("symbol", "points", *[F.round(c, 6).alias(c) for c in ("fast", "slow", "momentum")], "prediction", F.round("confidence", 6).alias("confidence"))
 
 
 CHECKPOINTS = """g AS (SELECT event_id AS id, event_type AS symbol, h, ts + h * INTERVAL 1 HOUR AS goal FROM events, (SELECT unnest([1, 4, 24]) AS h)),
@@ -408,11 +427,8 @@ def sentiment_move_corr(s, d):
 
 @query("SELECT event_type, list_sort(list(value))[(count(*) // 2) + 1] AS median FROM events GROUP BY event_type")
 def upper_median_by_group(s, d):
-    """Upper median of values by type: distinct values and counts, so that no group is gathered."""
-    v = table(s, d, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("m"))
-    w = W.partitionBy("event_type").orderBy("value")
-    c = v.withColumn("upto", F.sum("m").over(w)).withColumn("n", F.sum("m").over(W.partitionBy("event_type")))
-    return c.where(F.col("upto") >= F.floor(F.col("n") / 2) + 1).groupBy("event_type").agg(F.min("value").alias("median"))
+    """Upper median of values by type."""
+    return ranking.upper_medians(table(s, d, "events").where("value is not null"), "event_type", "value", "median")
 
 
 @query("""WITH r AS (SELECT s_suppkey, s_acctbal, CASE WHEN s_acctbal > 0 THEN rank() OVER (PARTITION BY s_acctbal > 0 ORDER BY s_acctbal) + count(*) OVER (PARTITION BY s_acctbal) / 2.0 - 1 END AS r FROM supplier)
@@ -612,8 +628,9 @@ def _drained(s: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
     """Runs a stream over the landed events into the shared folder."""
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marketloom-stream-")
-    at = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    from marketloom.store import shared_dir
+
+    at = f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
     return flows.drain(build(flows.events(s, _events_dir(d))), f"{at}/out", f"{at}/checkpoint", mode)
 
 

@@ -79,11 +79,11 @@ def move_zscore(s, d):
     return studio.move_z(bars(s, d)).select("symbol", "bucket", F.round("z", 5).alias("z"))
 
 
-@query(rf"""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all({TITLE}, '\d+(?:[.,]\d+)?\s*%?')) AS a, list_distinct(regexp_extract_all(text, '\d+(?:[.,]\d+)?\s*%?')) AS b FROM documents)
+@query(rf"""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all({TITLE}, '\d+(?:[.,]\d+)?\s*%?')) AS a, list_distinct(regexp_extract_all({BODY}, '\d+(?:[.,]\d+)?\s*%?')) AS b FROM documents)
 SELECT doc_id, len(a) AS claims, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS proven FROM n""")
 def number_provenance(s, d):
-    """Whether all numbers of the headline occur in the text."""
-    a, b = text.numbers(text.title_of(F.col("text"))), text.numbers(F.col("text"))
+    """Whether all numbers of the headline occur in the body."""
+    a, b = text.numbers(text.title_of(F.col("text"))), text.numbers(text.summary_of(F.col("text")))
     return docs(s, d).select("doc_id", F.size(a).cast("long").alias("claims"), (F.size(F.array_except(a, b)) == 0).alias("proven"))
 
 
@@ -111,13 +111,13 @@ def calendar_key(s, d):
     return e.select("event_id", F.concat_ws("_", F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.substring(F.regexp_replace("event_type", "[^0-9A-Za-z]", ""), 1, 20)).alias("key"))
 
 
-_IMPACT = " + ".join(f"contains(lower(text), '{w}')::INT" for w in scoring.IMPACT)
+_IMPACT = " + ".join(f"regexp_matches(lower(text), '(^|[^a-z0-9]){w}([^a-z0-9]|$)')::INT" if w.isascii() else f"regexp_matches(lower(text), '(^|[^a-z0-9\u0600-\u06FF]){w}($|[^a-z0-9\u0600-\u06FF]|{'|'.join(scoring.ENDINGS)})')::INT" for w in scoring.IMPACT)
 
 
 @query(f"SELECT doc_id, 0.35::DOUBLE + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.25 ELSE 0 END + CASE WHEN {_IMPACT} >= 1 THEN 0.25 ELSE 0 END + CASE WHEN {_IMPACT} >= 3 THEN 0.15 ELSE 0 END AS impact FROM documents")
 def market_impact(s, d):
     """Impact of every article."""
-    return docs(s, d).select("doc_id", scoring.market_impact(F.col("text")).alias("impact"))
+    return docs(s, d).select("doc_id", scoring.market_impact(text.fold(F.col("text")), text.numbers(F.col("text"))).alias("impact"))
 
 
 @query()

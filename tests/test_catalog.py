@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketloom.plans import catalog, products  # noqa: F401 - products adds to the catalogue
+from marketloom.plans import catalog, desk, products  # noqa: F401 - they add to the catalogue
 from tests.oracle import connect, rows
 
 
