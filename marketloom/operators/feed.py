@@ -115,7 +115,7 @@ def first_wins(rows: DataFrame, keys: list, order: list, name: str) -> DataFrame
     on ``name`` and keys, whatever the number of rows with one key.
     """
     names = [f"k{i}" for i in range(len(keys))]
-    small = rows.select(F.col(name).alias("id"), F.struct(*order, F.col(name)).alias("o"), *[k.cast("string").alias(n) for n, k in zip(names, keys, strict=True)])
+    small = rows.select(F.col(name).alias("id"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(name)])]).alias("o"), *[k.cast("string").alias(n) for n, k in zip(names, keys, strict=True)])
     open_, kept = materialise(small, "open"), []
     while not open_.isEmpty():
         state = open_

@@ -114,7 +114,7 @@ def tail(rows: DataFrame, n: int) -> DataFrame:
 def rsi_series(values: Column, p: int = 14) -> Column:
     """Relative strength of every bar from the p-th change on; unlike the latest value, a flat series has 100."""
     d = deltas(values)
-    gains, losses = (F.transform(d, lambda x, sign=sign: F.greatest(x * sign, F.lit(0.0))) for sign in (1, -1))
+    gains, losses = F.transform(d, lambda x: F.greatest(x, F.lit(0.0))), F.transform(d, lambda x: F.greatest(-x, F.lit(0.0)))
     at = F.sequence(F.lit(p), F.size(d))
     part = lambda side, i: wilder(F.slice(side, F.lit(1), i), p)
     return F.when(F.size(d) >= p, F.transform(at, lambda i: F.when(part(losses, i) == 0, 100.0).otherwise(100 - 100 / (1 + part(gains, i) / F.nullif(part(losses, i), F.lit(0.0))))))

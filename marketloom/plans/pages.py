@@ -13,7 +13,8 @@ from marketloom.sources import feeds
 from marketloom.sources.readers import table
 from marketloom.streaming import states
 
-AS_OF = F.lit("2024-01-01 00:00:00").cast("timestamp")
+def as_of():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
 FLAT = rf"trim(regexp_replace({TITLE}, '[\s<>&]+', ' ', 'g'))"
 
 
@@ -27,7 +28,7 @@ def atom_scan(s, d):
     day = F.date_format(F.date_sub(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 20 + 1).cast("int")), "yyyy-MM-dd")
     link = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit('<link rel="a" href="https://x.example/'), F.col("doc_id"), F.lit('"/>'))).otherwise("")
     xml = F.concat(F.lit("<feed><entry><title>"), _flat(text.title_of(F.col("text"))), F.lit("</title>"), link, F.lit("<updated>"), day, F.lit("T00:00:00Z</updated></entry></feed>"))
-    return feeds.atom_entries(docs(s, d).select("doc_id", xml.alias("xml")), "doc_id", "xml", AS_OF).drop("pos")
+    return feeds.atom_entries(docs(s, d).select("doc_id", xml.alias("xml")), "doc_id", "xml", as_of()).drop("pos")
 
 
 @query(f"""SELECT doc_id, 'ch/' || doc_id || n AS post_id, CASE n WHEN 1 THEN {FLAT} ELSE '' END AS text, CASE n WHEN 2 THEN 'photo' END AS media, CASE n WHEN 1 THEN 1500.0::DOUBLE END AS views, CASE n WHEN 1 THEN 1 ELSE 0 END AS pos
@@ -38,7 +39,7 @@ def channel_scan(s, d):
     post = lambda n, inner: F.concat(F.lit('<div class="tgme_widget_message_wrap"><div class="tgme_widget_message" data-post="ch/'), i, F.lit(f'{n}">'), inner, F.lit("</div></div>"))
     body = F.concat(F.lit('<div class="tgme_widget_message_reply"><div class="tgme_widget_message_text">quoted <div>x</div></div></div><div class="tgme_widget_message_text">'), F.lit("<b>"), _flat(text.title_of(F.col("text"))), F.lit('</b><div></div></div><span class="tgme_widget_message_views">1.5K</span>'))
     html = F.concat(post(0, F.lit("<div>joined</div>")), post(1, body), post(2, F.lit('<div class="tgme_widget_message_photo"></div>')))
-    return feeds.channel_posts(docs(s, d).select("doc_id", html.alias("html")), "doc_id", "html", AS_OF).select("doc_id", "post_id", "text", "media", "views", "pos")
+    return feeds.channel_posts(docs(s, d).select("doc_id", html.alias("html")), "doc_id", "html", as_of()).select("doc_id", "post_id", "text", "media", "views", "pos")
 
 
 @query("""SELECT event_id, 'E' || event_type AS symbol, CASE event_id % 4 WHEN 0 THEN 'Long' WHEN 1 THEN 'Short' WHEN 2 THEN 'Neutral' ELSE '' END AS direction, user_id AS likes, event_id % 3 = 0 AS picked FROM events WHERE event_id % 3 = 0 OR event_id % 7 = 0""")

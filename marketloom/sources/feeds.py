@@ -43,7 +43,8 @@ def plain(html: Column) -> Column:
 
 def age_hours(iso: Column, as_of: Column) -> Column:
     """Hours before ``as_of``, 0 for later times, null for times that can't be read."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(F.try_to_timestamp(iso))) / 3.6e9)
+    at = F.try_to_timestamp(iso)
+    return F.when(at.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(at)) / 3.6e9))
 
 
 def per_hour(views: Column, age: Column) -> Column:

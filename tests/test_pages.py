@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from marketloom.sources import feeds, html
 from marketloom.streaming import states
 
-AS_OF = F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+def as_of():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
 PARA = "This is a paragraph of the article that is long enough to be kept, number {}, and it says something."
 
 
@@ -42,10 +45,10 @@ def test_containers_parents_and_meta():
 
 def test_atom_and_channel(spark):
     xml = '<feed><entry><title>A &amp; B</title><link href="https://x/1"/><updated>2023-12-31T12:00:00Z</updated></entry><entry><title>no link</title></entry></feed>'
-    rows = feeds.atom_entries(spark.createDataFrame([(1, xml), (2, None), (3, "broken <entry>")], "k int, x string"), "k", "x", AS_OF).collect()
+    rows = feeds.atom_entries(spark.createDataFrame([(1, xml), (2, None), (3, "broken <entry>")], "k int, x string"), "k", "x", as_of()).collect()
     assert [(r.title, r.link, r.age_hours) for r in rows] == [("A & B", "https://x/1", 12.0)]
     page = '<div data-post="c/1"><div class="tgme_widget_message_text">one <div>inner</div> end</div><time datetime="2023-12-31T00:00:00+00:00"></time></div><div data-post="c/2"><div class="tgme_widget_message_reply"><div class="tgme_widget_message_text">quote</div></div><div class="tgme_widget_message_text">two</div></div><div data-post="c/3"><i>pinned</i></div>'
-    got = feeds.channel_posts(spark.createDataFrame([("c", page)], "k string, h string"), "k", "h", AS_OF).orderBy("pos").collect()
+    got = feeds.channel_posts(spark.createDataFrame([("c", page)], "k string, h string"), "k", "h", as_of()).orderBy("pos").collect()
     assert [(r.post_id, r.text, r.age_hours) for r in got] == [("c/2", "two", None), ("c/1", "one inner end", 24.0)]
 
 
