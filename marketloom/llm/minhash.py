@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.frames import pick
+from marketloom.llm.frames import join_skewed, pick
 from marketloom.llm.graph import components
 from marketloom.llm.store import discard, materialise
 from marketloom.llm.words import buffers, mix, slices, space_words, windows, words
@@ -227,8 +227,10 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     nodes = materialise(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
     member = nodes.select(F.explode("keys").alias("key"), "node", "n")
     centre = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"))).alias("c"), F.count("*").alias("m")).where("m > 1")
+    centre = materialise(centre.select("key", "c.a", "c.na", "m"), "centres")
     ratio = f"{rule.den} * least(n, na) >= {rule.num} * greatest(n, na)"
-    crowd = materialise(member.join(centre.select("key", "c.a", "c.na", "m"), "key").select("key", "node", "n", "a", "na", "m"), "crowd")
+    crowd = join_skewed(member, centre, ["key"], "m", nodes.count() * rule.bands).select("key", "node", "n", "a", "na", "m")
+    crowd = materialise(crowd, "crowd")
     first = crowd.where("a <> node").where(ratio).select("a", F.col("node").alias("b")).distinct()
     first = materialise(first, "pairs")
     texts = materialise(_texts(docs, nodes, crowd.select("node").distinct()), "texts")
@@ -267,7 +269,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = materialise(placed.join(smallest, "root").select("node", "component_id"), "components")
-    for old in (crowd, first, texts, near, second, more, links, own, prefix, rest, roots, nodes):
+    for old in (centre, crowd, first, texts, near, second, more, links, own, prefix, rest, roots, nodes):
         discard(old)
     out = signed.join(ids, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
