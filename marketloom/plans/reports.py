@@ -21,7 +21,7 @@ def citation_list(s, d):
     return reports.citations(articles(s, d), "topic", [F.desc("cred"), F.desc("ts")])
 
 
-@query(f"""WITH {ART} SELECT id, trim('*' || title || '*' || chr(10) || coalesce(publisher, '') || ' | ' || source) AS message FROM art""")
+@query(f"""WITH {ART} SELECT id, substr(trim('*' || title || '*' || chr(10) || coalesce(publisher, '') || ' | ' || source), 1, 4000) AS message FROM art""")
 def captions(s, d):
     """Messages of a template; missing values are empty."""
     value = {"title": F.col("title"), "publisher": F.col("publisher"), "source": F.col("source")}
