@@ -100,7 +100,7 @@ def test_overlap_and_cosine(spark):
 def test_html(spark):
     page = "<html><head><title>A  title</title></head><body><nav><p>" + "menu " * 20 + "</p></nav><p>" + "word " * 20 + "</p><p>" + "word " * 20 + "</p><p>short</p></body></html>"
     got = html.body(page)
-    assert got == {"title": "A title", "paragraphs": [("word " * 20).strip()], "word_count": 20, "partial": True}
+    assert got == {"title": "A title", "paragraphs": [("word " * 20).strip()], "word_count": 20, "partial": True, "site": "", "published": ""}
     assert html.body(None)["paragraphs"] == []
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
