@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import text
-from marketloom.plans.catalog import BARS, CHECKPOINTS, TITLE, _drained, bars, docs, query
+from marketloom.plans.catalog import BARS, TITLE, _drained, bars, docs, query
 from marketloom.sources import feeds
 from marketloom.sources.readers import table
 from marketloom.streaming import states
@@ -87,13 +87,6 @@ def _seconds():
     return F.unix_seconds(F.col("ts").cast("timestamp"))
 
 
-@query(f"WITH {CHECKPOINTS} SELECT id, h, price_after AS price FROM p")
-def stream_checkpoints(s, d):
-    """The stream fills every checkpoint with the first later tick, as the batch query does."""
-    both = lambda e: e.select(F.col("event_type").alias("symbol"), _seconds().alias("ts"), F.explode(F.array(F.lit("event"), F.lit("tick"))).alias("kind"), F.col("event_id").alias("id"), F.col("value").alias("price"))
-    return _drained(s, d, lambda e: states.checkpoints(both(e), most=1 << 40)).select("id", "h", "price")
-
-
 @query()
 def stream_sampled(s, d):
     """Points of each type at least ten minutes apart; tested against a plain loop."""

@@ -1,4 +1,4 @@
-"""Stateful flows whose state is bounded per key: capped histories, gap sampling, timed checkpoints, breakers.
+"""Stateful flows whose state is bounded per key: capped histories with gap sampling, breakers, quotas.
 
 Each is a function on a stream with event time; state lives in Spark's state
 store, so a lost executor's keys are recovered from the checkpoint.  Rows of a
@@ -43,29 +43,6 @@ def sampled(stream: DataFrame, key: str, gap: int = 600, most: int = 240) -> Dat
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts bigint, value double, points int", "held array<struct<ts:bigint,value:double>>", "append", GroupStateTimeout.NoTimeout)
 
 
-def checkpoints(stream: DataFrame, hours: tuple[int, ...] = (1, 4, 24), most: int = 1000) -> DataFrame:
-    """(symbol, id, h, price, at) of (symbol, ts, kind, id, price): for each event the first tick at or after each horizon, once.
-
-    One late tick may fill several horizons.  Of a symbol, the ``most`` newest
-    open events are held.
-    """
-
-    def step(k, frames, state: GroupState):
-        open_ = [list(p) for p in state.get[0]] if state.exists else []
-        out = []
-        for ts, kind, name, price in _ordered(frames, "ts", "kind", "id", "price"):
-            if kind == "event":
-                open_ += [[name, h, ts + h * 3600] for h in hours]
-                open_ = open_[-most * len(hours) :]
-                continue
-            out += [(k[0], name_, h, price, ts) for name_, h, due in open_ if due <= ts]
-            open_ = [o for o in open_ if o[2] > ts]
-        state.update(([tuple(o) for o in open_],))
-        yield pd.DataFrame(out, columns=["symbol", "id", "h", "price", "at"])
-
-    return stream.groupBy("symbol").applyInPandasWithState(step, "symbol string, id bigint, h int, price double, at bigint", "open array<struct<id:bigint,h:int,due:bigint>>", "append", GroupStateTimeout.NoTimeout)
-
-
 def breaker(stream: DataFrame, key: str, least: int = 2, seconds: int = 600) -> DataFrame:
     """(key, ts, ok, allowed) of (key, ts, ok): after ``least`` failures in a row calls are refused for ``seconds``; a refused call changes nothing."""
 
