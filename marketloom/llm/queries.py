@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, hmm, licenses, lines, media, minhash, pieces, quality, toxicity, warc
+from marketloom.llm import decontaminate, dialogue, hmm, infill, licenses, lines, media, minhash, mixing, pieces, quality, toxicity, warc
 from marketloom.llm.frames import pick, split_rule
 
 
@@ -98,6 +98,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-the-middle text, and the text rebuilt from it, as digests."""
+    made = infill.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    text, c = F.coalesce("text", F.lit("")), F.col("infill")
+    return made.select("doc_id", c.n.alias("n"), c.form.alias("form"), c.prefix_chars.alias("prefix_chars"), c.middle_chars.alias("middle_chars"), F.sha2(text, 256).alias("output_sha256"), F.sha2(infill.restore(text, c.form), 256).alias("restored_sha256"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources by their weights takes."""
+    mix = mixing.sample(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after planted damage."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return dialogue.report(rows, dialogue.damage(rows))
+
+
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LETTER_WORDS = rf"regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -146,9 +165,73 @@ FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN r ON r.node = c.rep
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT *, len(u)::BIGINT AS n, list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS g FROM d),
+c AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
+b AS (SELECT *, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM b GROUP BY source),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER earlier, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0)) AS level
+      FROM s WINDOW earlier AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, coalesce(least(2 * source_size, w * (SELECT arg_min(level, source_size / w) FROM l WHERE level * w <= 2 * source_size)), 2 * source_size) AS target FROM l),
+k AS (SELECT source, size, count(*) AS n FROM b WHERE size > 0 GROUP BY source, size),
+f AS (SELECT k.source, size, (target - 2 * coalesce(sum(size * n) OVER (PARTITION BY k.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(size * sqrt(size) * n) OVER (PARTITION BY k.source ORDER BY size) AS c
+      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT source, arg_max(c, size) AS c FROM f WHERE c * sqrt(size) <= 2 GROUP BY source),
+x AS (SELECT b.*, source_size, target, CASE WHEN size = 0 THEN 0 ELSE coalesce(least(2, c * sqrt(size)), 2) END AS wanted FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON b.source IS NOT DISTINCT FROM c.source),
+r AS (SELECT *, floor(wanted) AS certain, CASE WHEN wanted > floor(wanted) THEN (u / (1 - u)) / ((wanted - floor(wanted)) / (1 - (wanted - floor(wanted)))) END AS odds, target - sum(floor(wanted) * size) OVER (PARTITION BY source) AS rest FROM x),
+o AS (SELECT *, odds IS NOT NULL AND size > 0 AND sum(CASE WHEN odds IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, digest, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS chosen FROM r),
+g AS (SELECT *, rest - coalesce(sum(CASE WHEN chosen THEN size END) OVER (PARTITION BY source), 0) AS gap FROM o),
+e AS (SELECT source, arg_min(rid, (abs(size - gap), odds, digest, doc_id)) AS rid FROM g WHERE odds IS NOT NULL AND NOT chosen AND abs(size - gap) < gap GROUP BY source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (certain + chosen::INT + (e.rid IS NOT NULL)::INT)::INT AS copies, ((certain + chosen::INT + (e.rid IS NOT NULL)::INT) * size)::BIGINT AS taken
+FROM g LEFT JOIN e ON g.rid = e.rid
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE n AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+z AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+      lambda h, x: list_reduce([xor(h, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 20 AS kind FROM n),
+a AS (SELECT rid, conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM z, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS c(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), rid) AS i, rtrim(text, E' \t\n\x0B\f\r') AS seen, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS c FROM a),
+p AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS earlier, CASE WHEN seen = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN seen[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (earlier IS NOT NULL AND earlier || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows_left FROM p GROUP BY conv_id),
+-- states: - nothing, s, u, a; before each row up to two rows are inserted
+ins(state, n, behind, added, signs) AS (VALUES ('-', 0, '-', '', ''), ('-', 1, 'u', E'user:\n', 'I'), ('-', 2, 'a', E'user:\nassistant:\n', 'II'), ('s', 0, 's', '', ''), ('s', 1, 'u', E'user:\n', 'I'), ('s', 2, 'a', E'user:\nassistant:\n', 'II'),
+      ('u', 0, 'u', '', ''), ('u', 1, 'a', E'assistant:\n', 'I'), ('u', 2, 'u', E'assistant:\nuser:\n', 'II'), ('a', 0, 'a', '', ''), ('a', 1, 'u', E'user:\n', 'I'), ('a', 2, 'a', E'user:\nassistant:\n', 'II')),
+keep(state, c, behind) AS (VALUES ('-', 's', 's'), ('-', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, '-' AS state, {'cost': 0::BIGINT, 'audit': '', 'made': ''} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, i, state, min(best) FROM (
+    SELECT w.conv_id, p.i, e.behind AS state, {'cost': w.best.cost + 5 * ins.n + e.cost, 'audit': w.best.audit || ins.signs || e.sign, 'made': w.best.made || ins.added || e.made} AS best
+    FROM walk w JOIN p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i + 1 JOIN ins ON ins.state = w.state,
+    LATERAL (SELECT ins.behind, 2 AS cost, 'D' AS sign, '' AS made
+             UNION ALL SELECT keep.behind, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', p.role || ':' || p.text || E'\n' FROM keep WHERE keep.state = ins.behind AND keep.c = p.c AND fault NOT IN ('blank', 'duplicate')
+             UNION ALL SELECT keep.behind, 1 + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'R', CASE keep.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || p.text || E'\n' FROM keep WHERE keep.state = ins.behind AND keep.c <> 's' AND fault NOT IN ('blank', 'duplicate')) AS e
+  ) GROUP BY conv_id, i, state),
+done AS (SELECT w.conv_id, min({'cost': w.best.cost + 5 * ins.n, 'audit': w.best.audit || ins.signs, 'made': w.best.made || ins.added}) AS best
+         FROM walk w JOIN counts ON counts.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = rows_left JOIN ins ON ins.state = w.state WHERE ins.behind IN ('-', 'a') GROUP BY w.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.made[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts ON e.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN done ON e.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_webp, op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op6_minhash, op7_hmm, op8_line_dedup, op9_sentencepiece, op10_license_scan)}
+    return {f.__name__: f for f in (op1_webp, op2_quality, op3_decontaminate, op4_warc, op5_toxicity, op6_minhash, op7_hmm, op8_line_dedup, op9_sentencepiece, op10_license_scan, op11_infill, op12_mixing, op13_dialogue)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL, "op6_minhash": OP6_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL, "op6_minhash": OP6_SQL, "op11_infill": OP11_SQL, "op12_mixing": OP12_SQL, "op13_dialogue": OP13_SQL}

@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_line_dedup": "doc_id",
     "op9_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op11_infill": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op12_mixing": "doc_id size source_size target taken",
+    "op13_dialogue": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 
 
