@@ -5,7 +5,7 @@ characters.  A benchmark item gives every window of ``window`` consecutive
 words; an item of fewer words, but not none, is one window.  The windows of a
 block of items, bounded in bytes, become a hash set that is broadcast with the
 scan; a larger benchmark is scanned in several blocks, one after the other, so
-that no broadcast grows with it and no item is left out.  One word above the
+that no broadcast grows with it and no item is left out.  One window above the
 bound is a block of its own.  Every hash hit is verified
 against the window's words.
 
@@ -20,8 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom.llm.store import discard, materialise
 from marketloom.llm.words import Words, buffers, letter_words, slices, spans_cover, windows, words
 
 RESULT = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
@@ -130,34 +132,47 @@ def _pieces(window: int, most: int):
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int):
     """The distinct items in blocks of at most ``block_bytes`` of text each, collected one by one.
 
-    Items are cut to an eighth of a block at most; the number of blocks is
-    doubled until the largest fits.
+    Items are cut to an eighth of a block at most (or one window, where that is
+    longer).  Hash buckets of two blocks' bytes on average are filled into
+    blocks of seven eighths in the order of their hashes, so no more than
+    2 * bytes / block_bytes + 1 blocks arise, and none is empty.
     """
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
-    pieces = items.distinct().mapInArrow(_pieces(window, block_bytes // 8), "id string, text string, bytes bigint").distinct()
+    pieces = materialise(items.distinct().mapInArrow(_pieces(window, block_bytes // 8), "id string, text string, bytes bigint").distinct(), "pieces")
     size = pieces.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    while True:
-        block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
-        largest = pieces.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("one")).agg(F.max("bytes"), F.max("one")).first()
-        if (largest[0] or 0) <= max(block_bytes, largest[1] or 0):
-            break
-        blocks *= 2
-    for k in range(blocks):
-        yield [(r.id, r.text) for r in pieces.where(block == k).select("id", "text").collect()]
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "contamination", window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
+    if size <= block_bytes:
+        yield [(r.id, r.text) for r in pieces.select("id", "text").collect()]
+        discard(pieces)
+        return
+    key = F.xxhash64("id", "text")
+    before = W.partitionBy("bucket").orderBy("key", "id", "text").rowsBetween(W.unboundedPreceding, -1)
+    filled = pieces.withColumn("key", key).withColumn("bucket", F.pmod("key", F.lit(max(1, size // (2 * block_bytes)))))
+    filled = materialise(filled.withColumn("block", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / max(1, block_bytes * 7 // 8))), "blocks")
+    discard(pieces)
+    for r in filled.select("bucket", "block").distinct().collect():
+        yield [(x.id, x.text) for x in filled.where((F.col("bucket") == r.bucket) & (F.col("block") == r.block)).select("id", "text").collect()]
+    discard(filled)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "contamination", window: int = 13, block_bytes: int = 8 << 20, chain: int = 2) -> DataFrame:
     """Adds ``into``: word count, hit words, their spans (words from 0, end exclusive) and the item ids, sorted.
 
     ``block_bytes`` bounds the item texts of one broadcast; repeated items count
-    once and long ones are cut.  An earlier column named ``into`` gives way.
+    once and long ones are cut.  Each block is a pass over the documents; after
+    every ``chain`` passes the rows are written, so a task never has more Python
+    workers than that.  An earlier column named ``into`` gives way.
     """
     spark = docs.sparkSession
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{into}` {RESULT}"
+    stored, passes = None, 0
     for part in _blocks(benchmark, item_id, item_text, window, block_bytes):
+        if passes and passes % chain == 0:
+            docs = materialise(docs, "scanned")
+            discard(stored)
+            stored = docs
         docs = docs.mapInArrow(_scan(spark.sparkContext.broadcast(part), text, into, window), schema)
+        passes += 1
     return docs
 
 

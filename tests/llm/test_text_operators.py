@@ -50,6 +50,19 @@ def test_decontaminate(spark, docs, empty, block):
     assert decontaminate.scan(docs, bench.where("false")).where("contamination.n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize(("items", "block"), [(57, 4000), (400, 1000), (30, 40)])
+def test_blocks_are_few_and_bounded(spark, items, block):
+    texts = [(k, " ".join(f"w{k}x{j}" for j in range(3 + k % 60))) for k in range(items)]
+    bench = spark.createDataFrame(texts, "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 13, block))
+    size = sum(len(t.encode()) for b in blocks for _, t in b)
+    window = max(len(" ".join(t.split()[:13]).encode()) + 20 for _, t in texts)
+    assert len(blocks) <= 2 * size / block + 1 and all(blocks)
+    assert all(sum(len(t.encode()) for _, t in b) <= block + window for b in blocks)
+    have = {" ".join(w[i : i + 13]) for b in blocks for _, t in b for w in [t.split()] for i in range(max(1, len(w) - 12))}
+    assert have >= {" ".join(w[i : i + 13]) for _, t in texts for w in [t.split()] for i in range(max(1, len(w) - 12))}
+
+
 def test_licenses(spark, docs, empty):
     got = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
     for r in docs.select("doc_id", "text").collect():
