@@ -152,12 +152,23 @@ def boilerplate(sentence: Column, pattern: str = r"(?i)read more|click here|subs
     return F.coalesce(sentence.rlike(pattern) | (F.size(words(sentence)) < 4), F.lit(True))
 
 
-def phrases(text: Column, known: list[str], most: int = 8) -> Column:
-    """Known phrases of three, two or one word in a text, longest first, each once."""
-    w = words(F.coalesce(text, F.lit("")))
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    found = [F.array_intersect(gram(n), F.array(*[F.lit(p) for p in known if len(p.split()) == n])) for n in (3, 2, 1) if any(len(p.split()) == n for p in known)]
-    return F.slice(F.array_distinct(F.concat(*found)), 1, most)
+def phrases(found: Column, known: list[str], most: int = 8) -> Column:
+    """Known phrases of three, two or one word in an array of words, longest first, each once.
+
+    ``found`` is a column of a table below, so that words are made once a row
+    and not once for each window.
+    """
+    width = lambda n: [p for p in known if len(p.split()) == n]
+    shifted = lambda k: F.slice(found, k + 1, F.greatest(F.size(found) - k, F.lit(0)))
+
+    def grams(n: int) -> Column:
+        out = found
+        for k in range(1, n):
+            out = F.zip_with(out, shifted(k), lambda a, b: F.concat(a, F.lit(" "), b))  # short ones are null
+        return out
+
+    kept = [F.array_intersect(grams(n), F.array(*[F.lit(p) for p in width(n)])) for n in (3, 2, 1) if width(n)]
+    return F.slice(F.array_distinct(F.concat(*kept)), 1, most)
 
 
 def ago(hours: Column) -> Column:

@@ -492,7 +492,9 @@ KNOWN = ["the", "of the", "and", "und die", "und"]
 SELECT id, len(list_filter(['of the', 'und die'], lambda p: list_contains(two, p))) + len(list_filter(['the', 'and', 'und'], lambda p: list_contains(one, p))) AS n FROM g""")
 def known_phrases(s, d):
     """How many known phrases each article has."""
-    return docs(s, d).select(F.col("doc_id").alias("id"), F.size(text.phrases(F.col("text"), KNOWN)).alias("n"))
+    # an explode of one array makes the words once; lambdas above it only refer to them
+    w = docs(s, d).select(F.col("doc_id").alias("id"), F.explode(F.array(text.words(F.coalesce("text", F.lit(""))))).alias("w"))
+    return w.select("id", F.size(text.phrases(F.col("w"), KNOWN)).alias("n"))
 
 
 @query("""SELECT event_id AS id, CASE WHEN h < 1.0 / 60 THEN 'just now' WHEN h < 1 THEN greatest(1, floor(h * 60))::INT || ' min ago' WHEN h < 24 THEN round_even(h, 0)::INT || ' h ago' ELSE floor(h / 24)::INT || ' d ago' END AS ago FROM (SELECT event_id, event_id % 400 / 8.0 AS h FROM events)""")

@@ -50,6 +50,11 @@ def changes(stream: DataFrame, key: str, value: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, schema, f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
 
 
+def state_store(spark: SparkSession) -> None:
+    """Lets the session's streams keep timers and maps; streams that already run keep their own store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over everything that has landed and reads its output table."""
     spark = stream.sparkSession

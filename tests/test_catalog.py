@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketloom.plans import catalog, desk, pages, products, reports  # noqa: F401 - they add to the catalogue
+from marketloom.plans import catalog, desk, pages, products, reports, streams, translation  # noqa: F401 - they add to the catalogue
 from tests.oracle import connect, rows
 
 
