@@ -136,11 +136,17 @@ def priced_events(articles: DataFrame, prices: DataFrame) -> DataFrame:
     return named.join(prices.where("price > 0").select(scoring.alias(F.col("symbol")).alias("symbol"), "price"), "symbol").dropDuplicates(["symbol", "id"])
 
 
+def fingerprint(link: Column, title: Column) -> Column:
+    """struct(base, norm): the link up to its query, and the first 90 of the title's letters a-z and digits; one story has one."""
+    base = F.substring_index(F.coalesce(link, F.lit("")), "?", 1)
+    return F.struct(base.alias("base"), F.substring(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]", ""), 1, 90).alias("norm"))
+
+
 def carry_forward(fresh: DataFrame, before: DataFrame, since: float) -> DataFrame:
     """Fresh articles, and those of the cycle before that are inside the window and repeat no fresh id or fingerprint."""
-    key = lambda df: df.withColumn("_f", text.title_key(F.col("title"), 90))
-    old = key(before.where(F.col("ts") >= since))
-    kept = old.join(fresh.select("id"), "id", "left_anti").join(key(fresh).where("_f <> ''").select("_f"), "_f", "left_anti").drop("_f")
+    key = lambda df: df.withColumn("_f", fingerprint(F.col("link"), F.col("title")))
+    old = key(before.where(F.coalesce(F.col("ts") >= since, F.lit(since <= 0))))
+    kept = old.join(fresh.select("id"), "id", "left_anti").join(key(fresh).select("_f"), "_f", "left_anti").drop("_f")
     return fresh.withColumn("carried", F.lit(False)).unionByName(kept.withColumn("carried", F.lit(True)))
 
 
@@ -173,19 +179,25 @@ def corrections(table: DataFrame, replies: DataFrame, key: str, columns: list[st
 # ---- boards
 
 
-def gauge(articles: DataFrame, group: str, half_life: float = 24.0) -> DataFrame:
-    """(group, n, gauge, mood): mean polarity of headlines by credibility and freshness, from 0 to 100, 50 without weight."""
-    w = F.coalesce("cred", F.lit(0.5)) * F.pow(F.lit(0.5), F.col("age_hours") / half_life)
+def gauge(articles: DataFrame, group: str) -> DataFrame:
+    """(group, n, gauge, mood, pos, neg): mean polarity of headlines by credibility and age, on a scale around 50; 50 without weight.
+
+    Articles of the last 6 hours count whole, of the last day three quarters,
+    older ones half; a missing credibility is 0.5.
+    """
+    age = F.when(F.col("age_hours") <= 6, 1.0).when(F.col("age_hours") <= 24, 0.75).otherwise(0.5)
+    w = F.when(F.coalesce("cred", F.lit(0.0)) == 0, 0.5).otherwise(F.col("cred")) * age
     p = scoring.polarity(F.col("title"))
-    mean = F.try_divide(F.sum(w * p), F.sum(w))
-    g = F.round(50 + 50 * F.coalesce(mean, F.lit(0.0)), 1)
-    word = F.when(g < 25, "extreme fear").when(g < 45, "fear").when(g <= 55, "neutral").when(g <= 75, "greed").otherwise("extreme greed")
-    return articles.groupBy(group).agg(F.count("*").alias("n"), g.alias("gauge"), word.alias("mood"))
+    mean = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.sum(w * p), F.sum(w)), F.lit(0.0))))
+    g = F.bround(F.round(50 + 42 * mean, 9), 0).cast("int")
+    word = F.when(g < 25, "extreme fear").when(g < 45, "fear").when(g < 55, "neutral").when(g < 75, "greed").otherwise("extreme greed")
+    return articles.groupBy(group).agg(F.count("*").alias("n"), g.alias("gauge"), word.alias("mood"), F.count_if(p > 0.15).alias("pos"), F.count_if(p < -0.15).alias("neg"))
 
 
 def top_signals(signals: DataFrame, group: str, rate: str, rel: str, top: int = 3) -> DataFrame:
-    """By group: the item with the highest rate, the sum of the ``top`` rates, the largest share and the count."""
-    rn = F.row_number().over(W.partitionBy(group).orderBy(F.desc(rate), "id"))
+    """By group: the item with the highest rate (then the highest share), the sum of the ``top`` rates, the largest share and the count; nulls are 0."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    rn = F.row_number().over(W.partitionBy(group).orderBy(z(rate).desc(), z(rel).desc(), "id"))
     best = signals.withColumn("rn", rn).where(F.col("rn") <= top).groupBy(group).agg(F.min_by("id", "rn").alias("best"), F.sum(rate).alias("top_rates"))
     return best.join(signals.groupBy(group).agg(F.max(rel).alias("max_rel"), F.count("*").alias("n")), group)
 
@@ -276,10 +288,19 @@ def channel_rank(rows: DataFrame, least_fit: float = 0.0, limit: int | None = No
     return out.limit(limit) if limit else out
 
 
-def popularity(likes: Column, comments: Column, views: Column) -> Column:
-    """log10 of likes, comments (three times) and a hundredth of the views, all with null as 0."""
+def popularity(likes: Column, comments: Column, followers: Column, picked: Column, hot: Column) -> Column:
+    """Engagement first, the author's followers after it, and what editors picked or made hot; nulls are 0."""
     z = lambda c: F.coalesce(c, F.lit(0))
-    return F.log10(1 + z(likes) + 3 * z(comments) + z(views) / 100)
+    flag = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0.0)
+    return z(likes) * 3.0 + z(comments) * 2.0 + F.log10(z(followers) + 1) * 4.0 + flag(picked, 6.0) + flag(hot, 4.0)
+
+
+def idea_order(ideas: DataFrame, mode: str = "popular") -> DataFrame:
+    """Ideas (id, likes, comments, followers, picked, hot, ts), popular, recent or by followers first; ids settle ties."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).desc()
+    score = popularity(*[F.col(c) for c in ("likes", "comments", "followers", "picked", "hot")])
+    orders = {"recent": [z("ts")], "followers": [z("followers"), z("likes"), z("ts")], "popular": [score.desc(), z("ts")]}
+    return ideas.orderBy(*orders.get(mode, orders["popular"]), "id")
 
 
 #: Orders of boards by name; ids settle all ties.

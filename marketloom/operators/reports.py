@@ -121,3 +121,14 @@ def token_changes(pairs: DataFrame, before: str, after: str) -> DataFrame:
     changed = F.filter(F.arrays_zip(a.alias("old"), b.alias("new")), lambda x: x["old"] != x["new"])
     rows = pairs.where(F.coalesce(before, F.lit("")) != F.coalesce(after, F.lit(""))).select(F.explode(F.when(same, changed).otherwise(F.array(F.struct(F.lit("*").alias("old"), F.lit("rewritten").alias("new"))))).alias("c"))
     return rows.groupBy("c.old", "c.new").agg(F.count("*").alias("n"))
+
+
+def intelligence(anomalies: DataFrame, moves: DataFrame, symbols: list[str]) -> DataFrame:
+    """(symbol, anomaly, z, moves): the latest anomaly of every symbol that has one, and news-to-price figures of the named symbols with enough events.
+
+    ``anomalies`` (symbol, cycle, z, severity), ``moves`` (symbol, h, events,
+    move_pos, move_neg, accuracy); symbols with neither are left out.
+    """
+    last = anomalies.groupBy("symbol").agg(F.max_by(F.struct("severity", "z"), "cycle").alias("a")).where("a.severity <> 'none'").select("symbol", F.col("a.severity").alias("anomaly"), F.col("a.z").alias("z"))
+    known = moves.where(F.col("symbol").isin(symbols) & F.col("accuracy").isNotNull()).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("h", "events", "move_pos", "move_neg", "accuracy"))).alias("moves"))
+    return last.join(known, "symbol", "full")

@@ -52,6 +52,23 @@ def sample(df: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(stratum).orderBy(h, key))).where(F.col("rn") <= n).drop("rn")
 
 
+def claim_strata(df: DataFrame, key: str, strata: list[tuple[str, Column, int]]) -> DataFrame:
+    """Samples of overlapping strata without replacement: each (name, condition, n) takes its first n rows by the MD5 of their key, among those that no stratum before it has taken.
+
+    A stratum's rows are a distributed top n, and at most the sum of all n is
+    ever looked up.  Rows with equal keys are one row.
+    """
+    h = F.md5(F.col(key).cast("string"))
+    rows, taken = df.where(F.col(key).isNotNull()).dropDuplicates([key]), None
+    for name, condition, n in strata:
+        left = rows.where(F.coalesce(condition, F.lit(False)))
+        if taken is not None:
+            left = left.join(F.broadcast(taken.select(key)), key, "left_anti")
+        now = left.orderBy(h, key).limit(n).withColumn("stratum", F.lit(name))
+        taken = now if taken is None else taken.unionByName(now)
+    return taken
+
+
 def hist_change(points: DataFrame, seconds: int) -> DataFrame:
     """Change in percent against the first point of the last seconds; needs two points and a first value that is not 0."""
     w = W.partitionBy("symbol").orderBy("epoch").rangeBetween(-seconds, 0)

@@ -97,10 +97,18 @@ def topic_first_match(s, d):
     return docs(s, d).select("doc_id", scoring.topic(F.col("text")).alias("topic"))
 
 
-@query("SELECT symbol, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS symbol FROM documents WHERE regexp_matches(text, '(?i){p}')" for a, p in scoring.ASSETS.items()) + ") GROUP BY symbol")
+#: Names that stand before texts, so that some name assets.
+NAMED = ("bitcoin and ether", "crypto", "gold bullion", "the s&p 500", "a quiet day", "brent crude")
+NAMED_SQL = "(" + "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NAMED)) + " END || ' ' || coalesce(text, ''))"
+ASSET_SQL = " UNION ALL ".join(f"SELECT '{a}' AS symbol FROM t WHERE regexp_matches(x, '(?i){p}')" for a, p in scoring.ASSETS.items())
+
+
+@query(f"WITH t AS (SELECT {NAMED_SQL} AS x FROM documents), m AS ({ASSET_SQL} UNION ALL SELECT 'BTC' FROM t WHERE regexp_matches(x, '(?i)\\bcrypto\\b') AND NOT (" + " OR ".join(f"regexp_matches(x, '(?i){p}')" for p in scoring.ASSETS.values()) + ")) SELECT symbol, count(*) AS n FROM m GROUP BY symbol")
 def asset_mentions(s, d):
     """How many articles name each asset."""
-    return docs(s, d).select(F.explode(scoring.assets(F.col("text"))).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
+    name = F.element_at(F.array(*map(F.lit, NAMED)), (F.col("doc_id") % 6 + 1).cast("int"))
+    named = docs(s, d).select(F.concat(name, F.lit(" "), F.coalesce("text", F.lit(""))).alias("x"))
+    return named.select(F.explode(scoring.assets(F.col("x"))).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH a AS (SELECT doc_id, trim({TITLE}) AS title, trim(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END) AS summary,
@@ -180,12 +188,14 @@ def coverage_counts(s, d):
     return similarity.coverage(docs(s, d).withColumn("title", text.title_of(F.col("text"))), "doc_id", "title", "source")
 
 
-@query(f"""WITH t AS (SELECT item_id AS k, w, count(*) AS tf FROM (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark) GROUP BY ALL), n AS (SELECT k, sqrt(sum(tf * tf)) AS norm FROM t GROUP BY k)
+@query(f"""WITH i AS (SELECT item_id AS k, text FROM benchmark UNION ALL SELECT 1000000 + item_id, replace(text, ' the ', ' ') FROM benchmark), t AS (SELECT k, w, count(*) AS tf FROM (SELECT k, unnest({WORDS.format('text')}) AS w FROM i) GROUP BY ALL), n AS (SELECT k, sqrt(sum(tf * tf)) AS norm FROM t GROUP BY k)
 SELECT a.k AS a, b.k AS b, round(sum(a.tf * b.tf) / any_value(x.norm * y.norm), 6) AS cosine FROM t a JOIN t b ON a.w = b.w AND a.k < b.k JOIN n x ON x.k = a.k JOIN n y ON y.k = b.k
 GROUP BY a.k, b.k HAVING sum(a.tf * b.tf) / any_value(x.norm * y.norm) >= 0.5""")
 def cosine_pairs_tf(s, d):
-    """Similar reference items by term counts."""
-    return similarity.cosine_pairs(table(s, d, "benchmark"), "item_id", "text", 0.5).withColumn("cosine", F.round("cosine", 6))
+    """Similar reference items by term counts, among the items and their shortened copies."""
+    items = table(s, d, "benchmark").select("item_id", "text")
+    shorter = items.select((F.col("item_id") + 1_000_000).alias("item_id"), F.replace("text", F.lit(" the "), F.lit(" ")).alias("text"))
+    return similarity.cosine_pairs(items.unionByName(shorter), "item_id", "text", 0.5).withColumn("cosine", F.round("cosine", 6))
 
 
 @query()

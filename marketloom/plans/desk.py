@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import scoring, text
-from marketloom.operators import desk, feed, timeseries
+from marketloom.operators import desk, feed, studio, timeseries
 from marketloom.plans.catalog import BARS, CYCLES, POLARITY, SERIES, TITLE, TOKENS, WORDS, _ema_sql, _quoted, bars, cycles, docs, query
 from marketloom.plans.products import BODY
 from marketloom.sources.readers import table
@@ -242,12 +242,16 @@ def priced_events(s, d):
     return desk.priced_events(articles(s, d), prices)
 
 
-@query(f"""WITH {ART}, k AS (SELECT *, array_to_string(list_slice({WORDS.format('title')}, 1, 90), ' ') AS f FROM art), fresh AS (SELECT * FROM k WHERE id % 3 = 0), old AS (SELECT * FROM k WHERE id % 3 <> 1 AND ts >= {NOW - 300_000})
-SELECT id, FALSE AS carried FROM fresh UNION ALL SELECT id, TRUE FROM old WHERE id NOT IN (SELECT id FROM fresh) AND f NOT IN (SELECT f FROM fresh WHERE f <> '')""")
+@query(rf"""WITH {ART}, k AS (SELECT *, split_part(link, '?', 1) || '|' || left(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 90) AS f FROM art), fresh AS (SELECT * FROM k WHERE id % 3 = 0),
+old AS (SELECT id, ts, f FROM k WHERE id % 3 <> 1 UNION ALL SELECT 1000000 + id, ts, f FROM fresh UNION ALL SELECT 2000000 + id, ts, split_part(link, '?', 1) || '|' || left('new' || regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 90) FROM fresh)
+SELECT id, FALSE AS carried FROM fresh UNION ALL SELECT id, TRUE FROM old WHERE ts >= {NOW - 300_000} AND id NOT IN (SELECT id FROM fresh) AND f NOT IN (SELECT f FROM fresh)""")
 def carry_forward(s, d):
-    """Articles of the cycle before that are neither fetched again nor too old."""
+    """Articles of the cycle before that are neither fetched again nor too old; some came again under another id, title or link."""
     a = articles(s, d)
-    return desk.carry_forward(a.where("id % 3 = 0"), a.where("id % 3 <> 1"), NOW - 300_000).select("id", "carried")
+    fresh = a.where("id % 3 = 0")
+    again = fresh.withColumn("id", F.col("id") + 1_000_000).withColumn("link", F.concat("link", F.lit("?again")))
+    renamed = fresh.withColumn("id", F.col("id") + 2_000_000).withColumn("title", F.concat(F.lit("New: "), "title"))
+    return desk.carry_forward(fresh, a.where("id % 3 <> 1").unionByName(again).unionByName(renamed), NOW - 300_000).select("id", "carried")
 
 
 @query("""WITH u AS (SELECT n_name AS handle, 1 AS p FROM nation UNION ALL SELECT upper(n_name), 0 FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT r_name, 0 FROM region),
@@ -330,14 +334,15 @@ def facets_with_assets(s, d):
     return a.groupBy(F.col("lang").alias("value")).agg(F.count("*").alias("n")).unionAll(a.select(F.explode("assets").alias("value")).groupBy("value").agg(F.count("*").alias("n")))
 
 
-@query(f"""WITH {ART}, p AS (SELECT source, {POLARITY.replace("coalesce(text, '')", "title")} AS p, cred * pow(0.5, age_hours / 24) AS w FROM art), g AS (SELECT source, count(*) AS n, round(50 + 50 * coalesce(sum(w * p) / nullif(sum(w), 0), 0), 1) AS gauge FROM p GROUP BY source)
-SELECT source, n, gauge::DOUBLE AS gauge, CASE WHEN gauge < 25 THEN 'extreme fear' WHEN gauge < 45 THEN 'fear' WHEN gauge <= 55 THEN 'neutral' WHEN gauge <= 75 THEN 'greed' ELSE 'extreme greed' END AS mood FROM g""")
+@query(f"""WITH {ART}, p AS (SELECT source, {POLARITY.replace("coalesce(text, '')", "title")} AS p, CASE WHEN coalesce(cred, 0) = 0 THEN 0.5 ELSE cred END * CASE WHEN age_hours <= 6 THEN 1 WHEN age_hours <= 24 THEN 0.75 ELSE 0.5 END AS w FROM art),
+g AS (SELECT source, count(*) AS n, round_even(round(50 + 42 * greatest(-1, least(1, coalesce(sum(w * p) / nullif(sum(w), 0), 0))), 9), 0)::INT AS gauge, count(*) FILTER (p > 0.15) AS pos, count(*) FILTER (p < -0.15) AS neg FROM p GROUP BY source)
+SELECT source, n, gauge, CASE WHEN gauge < 25 THEN 'extreme fear' WHEN gauge < 45 THEN 'fear' WHEN gauge < 55 THEN 'neutral' WHEN gauge < 75 THEN 'greed' ELSE 'extreme greed' END AS mood, pos, neg FROM g""")
 def mood_gauge(s, d):
     """The mood of each source from 0 to 100, by credibility and freshness."""
     return desk.gauge(articles(s, d), "source")
 
 
-@query(f"""WITH {ART}, s AS (SELECT lang, id, views / (1 + age_hours) AS rate, cred AS rel FROM art), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rate DESC, id) AS rn FROM s)
+@query(f"""WITH {ART}, s AS (SELECT lang, id, views / (1 + age_hours) AS rate, cred AS rel FROM art), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rate DESC, rel DESC, id) AS rn FROM s)
 SELECT lang, max(id) FILTER (rn = 1) AS best, round(sum(rate) FILTER (rn <= 3), 6) AS top_rates, max(rel)::DOUBLE AS max_rel, count(*) AS n FROM r GROUP BY lang""")
 def top_signals(s, d):
     """The fastest article of each language and the pace of its first three."""
@@ -413,16 +418,13 @@ def source_health(s, d):
 
 # ---- scores and orders
 
-WEIGHTS = {"fresh": 0.25, "trust": 0.2, "demand": 0.2, "impact": 0.1, "coverage": 0.1, "fit": 0.1, "novelty": 0.05}
-
-
-@query(f"""WITH {ART}, f AS (SELECT *, pow(0.5, age_hours / 12) AS fresh, least(1, ln(1 + views) / ln(1 + 10000)) AS demand, (id % 7) / 7.0 AS impact, (id % 5) / 5.0 AS coverage, (id % 3) / 3.0 AS fit, NULL::DOUBLE AS novelty FROM art)
-SELECT id, round((0.25 * fresh + 0.2 * cred + 0.2 * demand + 0.1 * impact + 0.1 * coverage + 0.1 * fit + 0.05 * coalesce(novelty, 0)) * CASE WHEN id % 11 = 0 THEN 0.35 ELSE 1 END, 6) AS score FROM f WHERE cred >= 0.6 AND views > 0""")
+@query(f"""WITH {ART}, f AS (SELECT *, pow(0.5, age_hours / 12) AS freshness, least(1, ln(1 + views) / ln(1 + 10000)) AS audience, (id % 5) / 5.0 AS coverage, (id % 7) / 7.0 AS youtube, (id % 3) / 3.0 AS telegram FROM art)
+SELECT id, round(100 * (1.0 * cred + 0.9 * coverage + 1.1 * audience + 1.0 * freshness + 0.9 * youtube + 1.0 * telegram) / 6.4 * CASE WHEN id % 11 = 0 THEN 0.35 ELSE 1 END, 6) AS score FROM f WHERE cred >= 0.6 AND views > 0""")
 def studio_rank(s, d):
-    """The studio's seven factors, gate and repeat penalty."""
+    """The studio's seven factors (no claims of the seventh here), gate and repeat penalty."""
     i = F.col("id")
-    f = articles(s, d).select("id", "cred", "views", scoring.freshness(F.col("age_hours"), 12.0).alias("fresh"), F.col("cred").alias("trust"), scoring.log_norm(F.col("views"), 10_000.0).alias("demand"), (i % 7 / 7.0).alias("impact"), (i % 5 / 5.0).alias("coverage"), (i % 3 / 3.0).alias("fit"), F.lit(None).cast("double").alias("novelty"))
-    return desk.seven_factors(f, WEIGHTS, (F.col("cred") >= 0.6) & (F.col("views") > 0), i % 11 == 0).select("id", F.round("score", 6).alias("score"))
+    f = articles(s, d).select("id", "views", "cred", F.col("cred").alias("credibility"), (i % 5 / 5.0).alias("coverage"), scoring.log_norm(F.col("views"), 10_000.0).alias("audience"), scoring.freshness(F.col("age_hours"), 12.0).alias("freshness"), (i % 7 / 7.0).alias("youtube"), (i % 3 / 3.0).alias("telegram"), F.lit(None).cast("double").alias("reddit"))
+    return studio.score(f.where("cred >= 0.6 and views > 0"), repeat=i % 11 == 0).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {ART}, r AS (SELECT id, age_hours, 0.55 * ((id % 13) / 13.0) + 0.45 * cred AS rank FROM art WHERE cred >= 0.55) SELECT id, round(rank, 6) AS rank FROM r ORDER BY r.rank DESC, age_hours, id LIMIT 40")
@@ -432,13 +434,30 @@ def channel_rank(s, d):
     return desk.channel_rank(rows, 0.55, 40).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"WITH {ART}, p AS (SELECT id, log10(1 + id % 100 + 3 * (id % 7) + views / 100.0) AS p FROM art) SELECT id, round(p, 6) AS popularity FROM p ORDER BY p DESC, id LIMIT 60")
+IDEAS = f"""{ART}, ideas AS (SELECT id, ts, id % 100 AS likes, id % 7 AS comments, views AS followers, id % 10 = 0 AS picked, id % 4 = 0 AS hot FROM art),
+ip AS (SELECT *, likes * 3.0 + comments * 2.0 + log10(coalesce(followers, 0) + 1) * 4.0 + CASE WHEN picked THEN 6 ELSE 0 END + CASE WHEN hot THEN 4 ELSE 0 END AS p FROM ideas)"""
+
+
+def ideas(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    return articles(s, d).select("id", "ts", (i % 100).alias("likes"), (i % 7).alias("comments"), F.col("views").alias("followers"), (i % 10 == 0).alias("picked"), (i % 4 == 0).alias("hot"))
+
+
+@query(f"WITH {IDEAS} SELECT id, round(p, 6) AS popularity FROM ip ORDER BY p DESC, id LIMIT 60")
 def popular_ideas(s, d):
     """The sixty most popular articles."""
-    p = articles(s, d).select("id", desk.popularity(F.col("id") % 100, F.col("id") % 7, F.col("views")).alias("p"))
+    p = ideas(s, d).select("id", desk.popularity(*[F.col(c) for c in ("likes", "comments", "followers", "picked", "hot")]).alias("p"))
     return p.orderBy(F.desc("p"), "id").limit(60).select("id", F.round("p", 6).alias("popularity"))
 
 
+@query(f"""WITH {IDEAS} SELECT * FROM (SELECT id, 'popular' AS mode FROM ip ORDER BY p DESC, ts DESC, id LIMIT 20) UNION ALL SELECT * FROM (SELECT id, 'recent' FROM ip ORDER BY ts DESC, id LIMIT 20)
+UNION ALL SELECT * FROM (SELECT id, 'followers' FROM ip ORDER BY coalesce(followers, 0) DESC, likes DESC, ts DESC, id LIMIT 20)""")
+def idea_orders(s, d):
+    """The first twenty ideas in every order of the board."""
+    rows = ideas(s, d)
+    return _stack([desk.idea_order(rows, m).limit(20).select("id", F.lit(m).alias("mode")) for m in ("popular", "recent", "followers")])
+
+
 @query(f"WITH {ART} SELECT * FROM (SELECT id, 'new' AS mode FROM art ORDER BY ts DESC, cred DESC, id LIMIT 10) UNION ALL SELECT * FROM (SELECT id, 'cred' FROM art ORDER BY cred DESC, ts DESC, id LIMIT 10) UNION ALL SELECT * FROM (SELECT id, 'source' FROM art ORDER BY source, ts DESC, id LIMIT 10)")
 def feed_orders(s, d):
     """The first ten articles in every order of the feed."""

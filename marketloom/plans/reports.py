@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scoring, text
 from marketloom.operators import feed, reports, search, timeseries
-from marketloom.plans.catalog import BARS, TITLE, WORDS, bars, docs, query
+from marketloom.plans import catalog
+from marketloom.plans.catalog import TITLE, WORDS, docs, query
 from marketloom.plans.desk import ART, NOW, articles
 from marketloom.plans.products import BODY
 from marketloom.sources.readers import table
@@ -97,9 +98,11 @@ def ingest_chain(s, d):
     return kept.select("id", "c.score", scoring.topic(F.concat_ws(" ", "title", "summary")).alias("topic"), F.array_join(scoring.assets(F.concat_ws(" ", "title", "summary")), ",").alias("assets"), "ts")
 
 
-@query(f"""WITH {BARS}, s AS (SELECT symbol, count(*) AS bars, arg_max(close, bucket) AS price FROM c GROUP BY symbol), e AS (SELECT event_type AS symbol, count(*) AS events FROM events GROUP BY ALL)
-SELECT symbol, bars, price, events FROM s JOIN e USING (symbol)""")
+@query(f"""WITH n AS (SELECT symbol, max(cycle) AS last FROM ({catalog.SQL["volume_anomaly_zscore"]}) GROUP BY symbol), a AS (SELECT symbol, severity AS anomaly, z FROM ({catalog.SQL["volume_anomaly_zscore"]}) JOIN n USING (symbol) WHERE cycle = last AND severity <> 'none'),
+m AS (SELECT * FROM ({catalog.SQL["sentiment_move_corr"]}) WHERE symbol IN ('view', 'click', 'purchase', 'signup', 'error', 'search') AND accuracy IS NOT NULL),
+k AS (SELECT symbol, count(*) AS horizons, round(avg(accuracy), 6) AS accuracy FROM m GROUP BY symbol) SELECT coalesce(a.symbol, k.symbol) AS symbol, anomaly, z, coalesce(horizons, 0) AS horizons, accuracy FROM a FULL JOIN k ON a.symbol = k.symbol""")
 def composite_summary(s, d):
-    """Bars, price and events of every symbol side by side."""
-    b = bars(s, d).groupBy("symbol").agg(F.count("*").alias("bars"), F.max_by("close", "bucket").alias("price"))
-    return b.join(table(s, d, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("events")), "symbol")
+    """Latest volume anomalies, and how well news told price moves for six symbols."""
+    found = reports.intelligence(catalog.volume_anomaly_zscore(s, d), catalog.sentiment_move_corr(s, d), ["view", "click", "purchase", "signup", "error", "search"])
+    mean = F.aggregate("moves", F.lit(0.0), lambda a, m: a + m.accuracy) / F.size("moves")
+    return found.select("symbol", "anomaly", "z", F.coalesce(F.when(F.col("moves").isNotNull(), F.size("moves")), F.lit(0)).cast("bigint").alias("horizons"), F.round(mean, 6).alias("accuracy"))
