@@ -34,3 +34,28 @@ def post_edited(s, d):
     """Every article after post-editing, as digests; no SQL can follow greedy windows, a plain loop does."""
     out = postedit.edit(docs(s, d).select("doc_id", "text"), postedit.lexicon(conversation_terms(s, d)))
     return out.select("doc_id", F.md5("edited").alias("edited_md5"), (F.col("edited") != F.col("text")).alias("changed"))
+
+
+def persian_stories(s: SparkSession, d: str) -> DataFrame:
+    """Articles spelt with Persian letters: the first line as title, every other line a paragraph."""
+    spelt = F.translate(F.lower(F.coalesce("text", F.lit(""))), "abcdefghijklmnopqrstuvwxyz", LETTERS)
+    return docs(s, d).select("doc_id", spelt.alias("text")).select("doc_id", F.concat(F.lit("خبر "), text.title_of(F.col("text"))).alias("title"), F.lit(None).cast("string").alias("summary"), F.split("text", "\n").alias("paragraphs"))
+
+
+@query()
+def composed_posts(s, d):
+    """A post from every article that gives one; a plain version of the rules tests it."""
+    from marketloom.operators import posts
+
+    terms = conversation_terms(s, d).where("entity").select(F.col("fa").alias("name"))
+    made = posts.compose(persian_stories(s, d), terms)
+    return made.select("doc_id", F.col("post.title").alias("title"), F.coalesce(F.size("post.blocks"), F.lit(0)).alias("blocks"), F.md5("post.text").alias("text_md5"))
+
+
+@query()
+def editorial_blocks(s, d):
+    """Lead and caveat of every article; a plain loop tests it."""
+    from marketloom.operators import posts
+
+    rows = docs(s, d).select("doc_id", F.col("text").alias("summary"))
+    return posts.editorial(rows).select("doc_id", "editorial.lead", "editorial.caveat")
