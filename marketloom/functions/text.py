@@ -204,3 +204,8 @@ def prose_lines(text: Column, least: int = 55, letters: float = 0.72) -> Column:
     plain = F.regexp_replace(F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"(?m)^\s*(?:[#>*-]+|\d+\.)\s*", "")
     good = lambda x: (F.length(x) >= least) & (F.length(F.regexp_replace(x, r"[^\p{L}\s]", "")) >= letters * F.length(x))
     return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), good)
+
+
+def json_path(value: Column, path: str, default: str) -> Column:
+    """The text at a path of a JSON text; a missing path, null or malformed text gives the default."""
+    return F.coalesce(F.get_json_object(value, path), F.lit(default))
