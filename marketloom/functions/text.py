@@ -147,9 +147,16 @@ def clean_title(text: Column, most: int = 15) -> Column:
     return F.when(F.size(w) > most, F.concat(F.array_join(F.slice(w, 1, most), " "), F.lit("…"))).otherwise(plain)
 
 
-def boilerplate(sentence: Column, pattern: str = r"(?i)read more|click here|subscribe|sign up|follow us|all rights reserved|https?://") -> Column:
-    """Sentences that carry no news: addresses, calls to action, fewer than four words."""
-    return F.coalesce(sentence.rlike(pattern) | (F.size(words(sentence)) < 4), F.lit(True))
+#: What marks an address in a sentence.
+ADDRESS = r"🔗|https?://|www\.|[a-zA-Z0-9-]+\.(?:com|org|net|io|ir)/\S*"
+
+
+def boilerplate(sentence: Column) -> Column:
+    """Sentences that carry no news: notices, credits and addresses."""
+    from marketloom.functions.composer import NOTICES
+
+    said = F.lower(F.coalesce(sentence, F.lit("")))
+    return said.rlike(ADDRESS) | said.rlike("|".join(NOTICES))
 
 
 def phrases(found: Column, known: list[str], most: int = 8) -> Column:

@@ -613,13 +613,6 @@ def alert_rules(s, d):
     return alerts.evaluate(s.createDataFrame(RULES, alerts.RULES), snap)
 
 
-@query("""SELECT t, n FROM (VALUES ('1.5K', 1500.0), ('3M', 3000000.0), ('12', 12.0), ('2B views', 2000000000.0), ('none', NULL)) v(t, n)""")
-def parse_counts(s, d):
-    """Counts with units as numbers."""
-    rows = s.createDataFrame([("1.5K",), ("3M",), ("12",), ("2B views",), ("none",)], "t string")
-    return rows.select("t", text.parse_count(F.col("t")).alias("n"))
-
-
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings")
 def vector_norms(s, d):
     """Norms of dense vectors."""

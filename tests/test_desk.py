@@ -106,7 +106,9 @@ def test_text_helpers(spark):
     assert one(spark, "https://x.example/sport/final", lambda c: text.url_matches(c, F.lit("Bitcoin rally continues"))) is False
     assert one(spark, "# Head\n- [Prices of gold](http://a.b) rose for the third day in a row, and traders cheered them\n12 34 56 78 90 12 34 56 78 90 12 34 56 78 90 12 34 56 78 90", text.prose_lines) == ["Prices of gold rose for the third day in a row, and traders cheered them"]
     assert one(spark, "آب‌ها", text.family_key) == one(spark, "اب ها", text.family_key)
-    assert one(spark, "Read more here", text.boilerplate) is True
+    assert one(spark, "برای اطلاعات بیشتر کلیک کنید", text.boilerplate) is True
+    assert one(spark, "see www.x.example", text.boilerplate) is True
+    assert one(spark, "Read more here", text.boilerplate) is False
 
 
 def test_expiry_and_desks(spark):
