@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Month and exchange tables.
 JALALI_MONTHS = ("فروردین", "اردیبهشت", "خرداد", "تیر", "مرداد", "شهریور", "مهر", "آبان", "آذر", "دی", "بهمن", "اسفند")
-SESSIONS = {"sydney": (22, 7), "tokyo": (0, 9), "london": (8, 16), "new_york": (13, 21)}
+SESSIONS = {"sydney": (21, 6), "tokyo": (0, 9), "london": (7, 16), "new_york": (12, 21)}
+#: Days on which an exchange opens, from Monday, 0.
+DAYS = {"sydney": (6, 0, 1, 2, 3, 4), "tokyo": (0, 1, 2, 3, 4), "london": (0, 1, 2, 3, 4), "new_york": (0, 1, 2, 3, 4)}
 
 
 
@@ -28,11 +30,36 @@ def to_tehran(ts: Column) -> Column:
 
 
 def session_open(ts: Column, name: str) -> Column:
-    """Whether an exchange is open at a UTC time on a weekday; a session that wraps midnight tests the day of the time itself."""
+    """Whether an exchange is open at a UTC time on one of its days; a session that wraps midnight tests the day of the time itself."""
     start, end = SESSIONS[name]
-    hour, weekday = F.hour(ts), F.weekday(ts) < 5
+    hour = F.hour(ts)
     inside = (hour >= start) & (hour < end) if start < end else (hour >= start) | (hour < end)
-    return inside & weekday
+    return inside & F.weekday(ts).isin(*DAYS[name])
+
+
+def session_minutes(ts: Column, name: str) -> Column:
+    """Minutes to an exchange's next close if it is open, else to its next opening hour, on whatever day."""
+    start, end = SESSIONS[name]
+    now = F.hour(ts) * 60 + F.minute(ts)
+    boundary = F.when(session_open(ts, name), end * 60).otherwise(start * 60)
+    return F.when(boundary > now, boundary - now).otherwise(1440 - now + boundary)
+
+
+def countdown(seconds: Column, with_seconds: bool = False) -> Column:
+    """Time left in the two largest of days, hours, minutes and seconds; none of it is negative."""
+    s = F.greatest(F.lit(0), F.round(seconds, 0)).cast("bigint")
+    d, h, m = F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60)
+    last = s % 60 if with_seconds else F.lit(0)
+    return F.when(d > 0, F.format_string("%dd %02dh", d, h)).when(h > 0, F.format_string("%dh %02dm", h, m)).otherwise(F.format_string("%dm %02ds", m, last))
+
+
+def fa_ago(hours: Column) -> Column:
+    """Persian minutes, hours (halves to even) or days ago, one minute at least; none for the future."""
+    from marketloom.functions.text import fa_digits
+
+    say = lambda n, unit: F.concat(fa_digits(n.cast("bigint")), F.lit(f" {unit} پیش"))
+    minutes = F.greatest(F.lit(1.0), F.floor(hours * 60))
+    return F.when(hours.isNull() | (hours < 0), "").when(hours < 1, say(minutes, "دقیقه")).when(hours < 24, say(F.bround(hours, 0), "ساعت")).otherwise(say(F.floor(hours / 24), "روز"))
 
 
 def age_words(hours: Column) -> Column:

@@ -59,6 +59,6 @@ NOISE = r"\bdeclares? (?:quarterly |monthly |special )?(?:distribution|dividend)
 SPORTS = r"\b(?:asian games|asiad|olympi\w*|medals?\b|fencing|sabre\b|epee\b|handball|skateboarding|equestrian|dressage|synchroni[sz]ed (?:diving|swimming)|\bdivers\b|weightlifting|world cup|championship\w*|grand prix|super bowl|(?:wins?|won|claims?|claimed|captures?|captured|grabs?|grabbed|bags?|bagged|nabs?|nabbed|secures?|secured) (?:the )?(?:gold|silver|bronze)|(?:gold|silver|bronze) medal|\b(?:women|men|mixed)[-' ](?:team|event|singles|doubles|relay|final)\b)"
 HARD_NOISE = r"\b(?:top |best )?(?:stocks?|shares?) to buy\b|\btop stocks\b|\bstock picks?\b|\bstock selection\b|\btarget,? sl\b|\bbuy points?\b|\bpicks? \d+ stocks\b|\braise stakes in \d+ stocks\b|\bshare price\b|\bdrhp\b|\bfresh issue\b|\bipo (?:papers?|filing|stock)\b|\bfiles? (?:for (?:an? )?)?(?:draft )?(?:red herring )?prospectus\b|\bgoes? ex-dividend\b|\bdividend (?:declared|yield|per share)\b|\binsider (?:trading|selling|buying)\b|\bannual meeting\b|\bhits? (?:52-week|all-time) (?:high|low)\b"
 
-#: Session hours in UTC, asset aliases, importance of calendar events.
+#: Asset aliases, importance of calendar events.
 ALIASES = {"GOLD": "XAU", "SILVER": "XAG", "OIL": "WTI"}
 IMPORTANCE = {"High": 0, "Medium": 1, "Low": 2}

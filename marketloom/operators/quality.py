@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import words
@@ -22,6 +25,25 @@ def ngram_counts(df: DataFrame, text: str, sizes: tuple[int, ...] = (1, 2, 3, 4)
     return rows.groupBy("gram", "size").agg(F.count("*").alias("n"))
 
 
+def ngram_examples(df: DataFrame, key: str, text: str, grams: DataFrame, most: int = 2) -> DataFrame:
+    """Adds ``examples`` to grams (gram, size): the keys of the ``most`` shortest texts with each, found in partial minima.
+
+    ``grams`` is a report of a bounded number of rows and is broadcast.
+    """
+    w = df.select(F.col(key).alias("key"), F.length(text).alias("len"), F.explode(F.array(words(F.coalesce(F.col(text), F.lit(""))))).alias("w"))
+    shifted = lambda k: F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0)))
+    out = []
+    for n in range(1, 5):
+        gram = F.col("w")
+        for k in range(1, n):
+            gram = F.zip_with(gram, shifted(k), lambda a, b: F.concat(a, F.lit(" "), b))
+        out.append(w.select("key", "len", F.explode(F.array_distinct(F.array_compact(gram))).alias("gram"), F.lit(n).alias("size")).join(F.broadcast(grams), ["gram", "size"]))
+    rows = reduce(lambda a, b: a.unionByName(b), out)
+    rank = F.row_number().over(W.partitionBy("gram", "size").orderBy("len", "key"))
+    best = rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    return best.groupBy(*grams.columns).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x.key).alias("examples"))
+
+
 def token_census(df: DataFrame, text: str, good: str) -> DataFrame:
     """(token, total, failing, passing): in how many good and other rows a token occurs."""
     rows = df.select(good, F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("token"))

@@ -121,12 +121,12 @@ SELECT doc_id, reason, CASE WHEN reason IS NOT NULL THEN 0 ELSE round(greatest(0
 def credibility_score(s, d):
     """Rejection reason or credibility of each article; the labels stand in for trust, ids for ages and links."""
     link = F.when(F.col("doc_id") % 7 == 0, "https://x.y/press release").otherwise("https://x.y/a")
-    score = lambda trust: scoring.credibility(text.title_of(F.col("text")), text.summary_of(F.col("text")), F.lit(trust), (F.col("doc_id") % 96).cast("double"), link=link)
-    # what the texts give is made before the join, so that no text is shuffled: for either trust
-    sides = [score(0.6).alias("no"), score(0.96).alias("yes")]
+    # what the texts give is one small column before the join, so no text is shuffled and no pattern runs twice
+    found = scoring.doubts(text.title_of(F.col("text")), text.summary_of(F.col("text")), (F.col("doc_id") % 96).cast("double"), link=link)
     trust = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs(s, d).select("doc_id", *sides).join(trust, "doc_id", "left").withColumn("c", F.when(F.col("quality") == 1, F.col("yes")).otherwise(F.col("no")))
-    return rows.select("doc_id", "c.reason", "c.score")
+    rows = docs(s, d).select("doc_id", F.explode(F.array(found)).alias("found")).join(trust, "doc_id", "left")
+    c = scoring.trusted(F.col("found"), F.when(F.col("quality") == 1, 0.96).otherwise(0.6))
+    return rows.select("doc_id", c.alias("c")).select("doc_id", "c.reason", "c.score")
 
 
 @query("SELECT page_id, substr(md5(lower(trim(url)) || '|' || url), 1, 12) AS id FROM pages")
@@ -205,12 +205,17 @@ def greedy_dedup(s, d):
     return feed.greedy_dedup(similarity.cosine_pairs(table(s, d, "benchmark"), "item_id", "text", 0.5).select("a", "b"), items, "item_id")
 
 
-@query(f"""WITH w AS (SELECT {WORDS.format('text')} AS w FROM documents), g AS (
-  SELECT unnest(w) AS gram, 1 AS size FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w WHERE len(w) >= 2)
-SELECT gram, size, count(*) AS n FROM g GROUP BY ALL ORDER BY n DESC, gram, size LIMIT 200""")
+@query(f"""WITH w AS (SELECT doc_id, length(text) AS len, {WORDS.format('text')} AS w FROM documents), g AS (SELECT doc_id, len, unnest(w) AS gram, 1 AS size FROM w
+  UNION ALL SELECT doc_id, len, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w WHERE len(w) >= 2
+  UNION ALL SELECT doc_id, len, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))), 3 FROM w WHERE len(w) >= 3
+  UNION ALL SELECT doc_id, len, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))), 4 FROM w WHERE len(w) >= 4),
+t AS (SELECT gram, size, count(*) AS n FROM g GROUP BY ALL ORDER BY n DESC, gram, size LIMIT 200), e AS (SELECT gram, size, len, doc_id, row_number() OVER (PARTITION BY gram, size ORDER BY len, doc_id) AS rn FROM (SELECT DISTINCT gram, size, len, doc_id FROM g JOIN t USING (gram, size)))
+SELECT t.gram, t.size, n, array_to_string(list(doc_id ORDER BY rn) FILTER (rn <= 2), ',') AS examples FROM t JOIN e USING (gram, size) GROUP BY t.gram, t.size, n""")
 def ngram_top200(s, d):
-    """The most frequent words and word pairs."""
-    return quality.ngram_counts(docs(s, d), "text", (1, 2)).orderBy(F.desc("n"), "gram", "size").limit(200)
+    """The most frequent runs of one to four words, each with its two shortest articles."""
+    top = quality.ngram_counts(docs(s, d), "text").orderBy(F.desc("n"), "gram", "size").limit(200)
+    found = quality.ngram_examples(docs(s, d), "doc_id", "text", top)
+    return found.select("gram", "size", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
 @query(f"""WITH t AS (SELECT quality = 1 AS good, unnest(list_distinct({WORDS.format('text')})) AS token FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id))
@@ -272,8 +277,8 @@ def search_ranked(s, d):
 
 @query()
 def html_extract(s, d):
-    """Bodies of pages."""
-    return html.extract(table(s, d, "pages")).select("page_id", "title", F.size("paragraphs").alias("paragraphs"), "word_count", "partial")
+    """Whole bodies of pages: all paragraphs, equal only where they are equal to the end."""
+    return html.extract(table(s, d, "pages"), rule=html.Rule(most=None, same=None)).select("page_id", "title", F.size("paragraphs").alias("paragraphs"), "word_count", "partial")
 
 
 @query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\d+(?:[.,]\d+)?\s*%?'))) AS numbers FROM documents""")
@@ -579,14 +584,18 @@ def _session_sql() -> str:
     out = []
     for name, (a, b) in calendar.SESSIONS.items():
         inside = f"hour(ts) >= {a} AND hour(ts) < {b}" if a < b else f"(hour(ts) >= {a} OR hour(ts) < {b})"
-        out.append(f"({inside}) AND isodow(ts) <= 5 AS {name}")
+        open_ = f"(({inside}) AND isodow(ts) - 1 IN {calendar.DAYS[name]})"
+        out.append(f"{open_} AS {name}")
+        left = f"(CASE WHEN {open_} THEN {b * 60} ELSE {a * 60} END - hour(ts) * 60 - minute(ts))"
+        out.append(f"(CASE WHEN {left} > 0 THEN {left} ELSE 1440 + {left} END)::INT AS {name}_minutes")
     return f"SELECT event_id, {', '.join(out)} FROM events"
 
 
 @query(_session_sql())
 def session_open_flags(s, d):
-    """Which exchanges are open at each event."""
-    return table(s, d, "events").select("event_id", *[calendar.session_open(F.col("ts"), n).alias(n) for n in calendar.SESSIONS])
+    """Which exchanges are open at each event, and the minutes to their next change."""
+    ts = F.col("ts")
+    return table(s, d, "events").select("event_id", *[c for n in calendar.SESSIONS for c in (calendar.session_open(ts, n).alias(n), calendar.session_minutes(ts, n).cast("int").alias(f"{n}_minutes"))])
 
 
 @query("""WITH n AS (SELECT DISTINCT o_orderdate::DATE AS day, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 1075195 AS n FROM orders),

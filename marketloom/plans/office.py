@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.functions import releases, text
-from marketloom.operators import office
+from marketloom.functions import calendar, releases, text
+from marketloom.operators import alerts, office, signals
 from marketloom.plans.catalog import docs, query
 from marketloom.plans.desk import ART, NOW, articles
 from marketloom.sources.readers import table
@@ -209,3 +209,70 @@ def nested_paths(s, d):
     """Values of nested paths, with what stands for missing ones."""
     e = table(s, d, "events")
     return e.select(F.col("event_id").alias("id"), text.json_path(F.col("props"), "$.k", "none").alias("k"), text.json_path(F.col("props"), "$.a.b[0].c", "none").alias("deep"))
+
+
+# ---- demand signals
+
+_WORDS = r"list_distinct(list_filter(string_split(lower(regexp_replace(coalesce({0}, ''), '[^\p{{L}}\p{{N}}_&%]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND NOT list_contains({1}, w)))"
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+
+
+@query(rf"""WITH {ART}, st AS (SELECT id, cred, list_distinct(list_concat(list_filter({_WORDS.format("title || ' ' || summary", _STOP)}, lambda w: NOT regexp_matches(w, '^[0-9]+$')), flatten(list_transform(assets, lambda a: CASE a WHEN 'BTC' THEN ['bitcoin', 'btc'] WHEN 'ETH' THEN ['ethereum', 'ether', 'eth'] ELSE ['gold', 'xau'] END)))) AS own FROM art),
+sg AS (SELECT 'post' AS kind, item_id AS key, {_WORDS.format("text", _STOP)} AS w, []::VARCHAR[] AS q FROM benchmark UNION ALL SELECT 'video', p_partkey, {_WORDS.format("p_name || ' gold moves'", _STOP)}, {_WORDS.format("CASE p_partkey % 4 WHEN 0 THEN 'bitcoin' WHEN 1 THEN 'gold price' ELSE 'nothing' END", _STOP)} FROM part WHERE p_size < 5),
+m AS (SELECT id, kind, key, cred, len(list_filter(w, lambda x: list_contains(own, x))) AS h, CASE kind WHEN 'video' THEN len(list_filter(q, lambda x: list_contains(own, x))) ELSE 0 END AS a FROM st, sg)
+SELECT kind, key, arg_min(id, (-(h + a), -cred, id)) AS id, max(h + a) AS hits FROM m WHERE h >= 2 OR (h >= 1 AND a >= 1) GROUP BY kind, key""")
+def signal_claims(s, d):
+    """The story that owns each post and video: most shared words, then credibility."""
+    a = articles(s, d)
+    stories = a.select("id", "cred", signals.story_words(F.concat_ws(" ", "title", "summary"), F.col("assets")).alias("words"))
+    posts = table(s, d, "benchmark").select(F.lit("post").alias("kind"), F.col("item_id").alias("key"), signals.signal_words(F.col("text")).alias("words"), F.array().cast("array<string>").alias("query"))
+    asked = F.when(F.col("p_partkey") % 4 == 0, "bitcoin").when(F.col("p_partkey") % 4 == 1, "gold price").otherwise("nothing")
+    videos = table(s, d, "part").where("p_size < 5").select(F.lit("video").alias("kind"), F.col("p_partkey").alias("key"), signals.signal_words(F.concat("p_name", F.lit(" gold moves"))).alias("words"), signals.signal_words(asked).alias("query"))
+    return signals.claim(signals.match(stories, posts.unionByName(videos)), stories)
+
+
+# ---- alerts over prices, events and news
+
+AT = NOW - 1000
+CONDITIONS = [
+    ("r1", "AND", "price", "view", "gt", "0", None, None, None, None),
+    ("r1", "AND", "news", None, None, None, None, ["bitcoin"], 0.6, None),
+    ("r2", "OR", "event", None, None, None, "High", None, None, None),
+    ("r2", "OR", "price", "nothing", "gt", "0", None, None, None, None),
+    ("r3", "AND", "price", "nothing", "gt", "0", None, None, None, None),
+    ("r4", "AND", "news", None, None, None, None, ["no such words here"], None, 60),
+    ("r5", "AND", "news", None, None, None, None, None, 0.9, 600),
+    ("r6", "AND", "price", "click", "eq", "-1", None, None, None, None),
+    ("r7", "AND", "event", None, None, None, None, None, None, None),
+    ("r8", "OR", "price", "view", "contains", ".", None, None, None, None),
+]
+
+
+@query(f"""WITH {ART}, p AS (SELECT event_type AS symbol, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY event_type), h AS (SELECT max(ts) AS ts FROM events WHERE event_id % 4 = 0 AND event_id % 5 < 3), a AS (SELECT max(ts) AS ts FROM events WHERE event_id % 5 < 3),
+n1 AS (SELECT arg_max(id, (ts, id)) AS id FROM art WHERE cred >= 0.6 AND contains(lower(title || ' ' || summary), 'bitcoin')), n5 AS (SELECT arg_max(id, (ts, id)) AS id FROM art WHERE cred >= 0.9 AND {AT} - ts <= 36000)
+SELECT 'r1' AS id, 'a:' || n1.id || '~p:view|' || printf('%.4f', price) AS sig FROM p, n1 WHERE symbol = 'view' AND price > 0 AND n1.id IS NOT NULL
+UNION ALL SELECT 'r2', 'e:' || strftime(h.ts, '%Y-%m-%d') FROM h WHERE h.ts IS NOT NULL UNION ALL SELECT 'r5', 'a:' || n5.id FROM n5 WHERE n5.id IS NOT NULL UNION ALL SELECT 'r8', 'p:view|' || printf('%.4f', price) FROM p WHERE symbol = 'view' AND contains(price::VARCHAR, '.')""")
+def alert_conditions(s, d):
+    """Rules over prices, events and news that fire now; r7 is quiet, as it fired a minute ago."""
+    order = F.struct("ts", "event_id")
+    e = table(s, d, "events")
+    prices = e.groupBy(F.col("event_type").alias("symbol")).agg(F.max_by("value", order).alias("price"), F.lit(0.0).alias("change"))
+    impact = F.element_at(F.array(*map(F.lit, ("High", "Medium", "Low", "Holiday"))), (F.col("event_id") % 4 + 1).cast("int"))
+    events = e.select("ts", F.col("event_type").alias("title"), impact.alias("impact"), (F.col("event_id") % 5 < 3).alias("released"))
+    rules = s.createDataFrame(CONDITIONS, alerts.CONDITIONS)
+    log = s.createDataFrame([("r7", AT - 60, "e:", 30), ("r1", AT - 60, "p:", 0), ("r8", AT - 4000, "p:", 30)], "id string, at long, sig string, cooldown int")
+    news = articles(s, d).select("id", "title", "summary", "cred", "ts")
+    found = alerts.fired(alerts.conditions(rules, prices, events, news, AT), log, AT)
+    return found.select("id", F.when(F.col("sig").startswith("e:"), F.substring("sig", 1, 12)).otherwise(F.col("sig")).alias("sig"))
+
+
+# ---- times in words
+
+
+@query("""WITH s AS (SELECT event_id AS id, (event_id * 7919) % 400000 AS s, event_id % 3000 / 8.0 - 2 AS h FROM events), p AS (SELECT *, s // 86400 AS d, s % 86400 // 3600 AS hh, s % 3600 // 60 AS m FROM s)
+SELECT id, CASE WHEN d > 0 THEN printf('%dd %02dh', d, hh) WHEN hh > 0 THEN printf('%dh %02dm', hh, m) ELSE printf('%dm %02ds', m, s % 60) END AS left_,
+  CASE WHEN h < 0 THEN '' WHEN h < 1 THEN translate(greatest(1, floor(h * 60))::INT::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' دقیقه پیش' WHEN h < 24 THEN translate(round_even(h, 0)::INT::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' ساعت پیش' ELSE translate(floor(h / 24)::INT::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' روز پیش' END AS ago FROM p""")
+def countdowns(s, d):
+    """Time left and time gone in words."""
+    i = F.col("event_id")
+    return table(s, d, "events").select(i.alias("id"), calendar.countdown(i * 7919 % 400000, True).alias("left_"), calendar.fa_ago(i % 3000 / 8.0 - 2).alias("ago"))
