@@ -44,7 +44,10 @@ def match(stories: DataFrame, signals: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("kind", "key").orderBy(F.desc_nulls_last("df"), "word"))
     rare = each.join(seen, "word").withColumn("rank", rank).where("rank > 1 or kind = 'video'").select("kind", "key", "word")
     pairs = rare.join(used, "word").select("id", "kind", "key").distinct()
-    both = pairs.join(s, ["kind", "key"]).join(stories.select("id", F.col("words").alias("own")), "id")
+    # of a story's words those that any signal has are enough, asked ones too
+    asking = s.where("kind = 'video'").select(F.explode("query").alias("word"))
+    own = story.join(each.select("word").unionByName(asking).distinct(), "word", "left_semi").groupBy("id").agg(F.collect_set("word").alias("own"))
+    both = pairs.join(s, ["kind", "key"]).join(own, "id")
     hits, asked = F.size(F.array_intersect("words", "own")), F.when(F.col("kind") == "video", F.size(F.array_intersect(F.coalesce("query", F.array().cast("array<string>")), F.col("own")))).otherwise(0)
     return both.where((hits >= 2) | ((hits >= 1) & (asked >= 1))).select("id", "kind", "key", (hits + asked).cast("bigint").alias("hits"))
 
