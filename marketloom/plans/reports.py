@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import scoring, text
 from marketloom.operators import feed, reports, search, timeseries
 from marketloom.plans import catalog
-from marketloom.plans.catalog import TITLE, WORDS, docs, query
+from marketloom.plans.catalog import TITLE, WORDS, bars, docs, query
 from marketloom.plans.desk import ART, NOW, articles
 from marketloom.plans.products import BODY
 from marketloom.sources.readers import table
