@@ -150,6 +150,15 @@ def carry_forward(fresh: DataFrame, before: DataFrame, since: float) -> DataFram
     return fresh.withColumn("carried", F.lit(False)).unionByName(kept.withColumn("carried", F.lit(True)))
 
 
+def archive(rows: DataFrame, place: str = "place", most: int = 1200) -> DataFrame:
+    """The archive: rows in the order of ``place``, a unique number, of which no earlier kept one has the id or the fingerprint; the last ``most`` stay."""
+    from marketloom.operators.feed import first_wins
+
+    print_ = fingerprint(F.col("link"), F.col("title"))
+    kept = first_wins(rows, [F.col("id").cast("string"), F.to_json(print_)], [F.col(place)], place)
+    return kept.orderBy(F.desc(place)).limit(most)
+
+
 def merged_sources(base: DataFrame, extra: DataFrame, deleted: DataFrame) -> DataFrame:
     """Built-in and own sources without deleted ones; handles don't depend on case, own ones win."""
     both = extra.withColumn("_p", F.lit(0)).unionByName(base.withColumn("_p", F.lit(1)), allowMissingColumns=True).withColumn("_h", F.lower("handle"))

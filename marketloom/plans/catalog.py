@@ -661,9 +661,11 @@ def stream_release_changes(s, d):
     return out.groupBy("user_id").agg(F.count("*").alias("changes"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, TRUE) AS begins FROM events), g AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+x AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM g GROUP BY user_id, k) SELECT user_id, epoch_us(start) AS start_us, epoch_us(stop) AS end_us, n FROM x WHERE stop <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_session_counts(s, d):
     """Closed sessions by user."""
-    return _drained(s, d, lambda e: flows.sessions(e, "user_id"))
+    out = _drained(s, d, lambda e: flows.sessions(e, "user_id"))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 

@@ -254,6 +254,22 @@ def carry_forward(s, d):
     return desk.carry_forward(fresh, a.where("id % 3 <> 1").unionByName(again).unionByName(renamed), NOW - 300_000).select("id", "carried")
 
 
+def archive_rows(s: SparkSession, d: str) -> DataFrame:
+    """Articles of four cycles: every second one again under its id, every third under another id with a longer link."""
+    a = articles(s, d).select("id", "title", "link")
+    same = a.where("id % 2 = 0").withColumn("title", F.concat("title", F.lit(" updated")))
+    again = a.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), F.upper("title").alias("title"), F.concat("link", F.lit("?utm=1")).alias("link"))
+    new = a.where("id % 5 = 0").select((F.col("id") + 2_000_000).alias("id"), F.concat(F.lit("More: "), "title").alias("title"), "link")
+    parts = [p.withColumn("place", F.col("id") % 1_000_000 + k * 10_000_000) for k, p in enumerate((a, same, again, new))]
+    return _stack(parts)
+
+
+@query()
+def archive_merge(s, d):
+    """The last thousand articles of the archive, each story once; a plain loop tests it."""
+    return desk.archive(archive_rows(s, d), most=1000).select("id", "place")
+
+
 @query("""WITH u AS (SELECT n_name AS handle, 1 AS p FROM nation UNION ALL SELECT upper(n_name), 0 FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT r_name, 0 FROM region),
 k AS (SELECT handle FROM u QUALIFY row_number() OVER (PARTITION BY lower(handle) ORDER BY p, handle) = 1) SELECT handle FROM k WHERE lower(handle) NOT IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 5 = 0)""")
 def source_list(s, d):

@@ -93,7 +93,7 @@ def ingest_chain(s, d):
     a = articles(s, d)
     c = scoring.credibility(F.col("title"), F.col("summary"), F.lit(0.8), F.col("age_hours"), link=F.col("link"))
     rows = a.where(scoring.relevant(F.col("title"), F.col("summary"))).withColumn("c", c).where("c.valid")
-    key = F.nullif(F.substring(F.regexp_replace(text.fold(F.col("title")), r"[^\p{L}\p{N}]+", ""), 1, 128), F.lit(""))
+    key = F.nullif(F.substring(F.regexp_replace(F.lower("title"), "[^a-z0-9]", ""), 1, 128), F.lit(""))
     kept = feed.first_wins(rows, [key, F.regexp_replace("link", r"[?#].*$", "")], [-F.col("ts")], "id")
     return kept.select("id", "c.score", scoring.topic(F.concat_ws(" ", "title", "summary")).alias("topic"), F.array_join(scoring.assets(F.concat_ws(" ", "title", "summary")), ",").alias("assets"), "ts")
 
