@@ -148,11 +148,11 @@ def headline(given: str) -> str:
     return out if not badge or out.startswith(badge) else badge + out
 
 
-def worth(sentence: str, title: str, place: int, entities: frozenset[str]) -> int:
+def worth(sentence: str, title: str, place: int, names_one: Callable[[str], bool]) -> int:
     """Figures 3; a known entity, two words of the title, and one of the first two places 2 each; mere attribution -1."""
     named = {w for w in title.split() if len(w) > 3 and w not in FUNCTION_WORDS}
     low = sentence.lower()
-    return 3 * bool(FIGURES.search(sentence)) + 2 * any(len(e) > 3 and e in low for e in entities) + 2 * (len(named & set(sentence.split())) >= 2) + 2 * (place < 2) - bool(SAID_ONLY.match(sentence))
+    return 3 * bool(FIGURES.search(sentence)) + 2 * names_one(low) + 2 * (len(named & set(sentence.split())) >= 2) + 2 * (place < 2) - bool(SAID_ONLY.match(sentence))
 
 
 def sign_of(sentence: str, role: str, before: str | None) -> str:
@@ -168,27 +168,53 @@ def sign_of(sentence: str, role: str, before: str | None) -> str:
     return next(s for s in (*fits, *BY_ROLE[role], "✔️", "⚡️", "📌") if s != before)
 
 
+class _Seen:
+    """Sentences seen so far, by word; asks only those that can repeat a new one.
+
+    A sentence that repeats another shares more than seven tenths of its own
+    words with it, so of any three tenths of its words one is shared: those of
+    the fewest sentences are looked up.
+    """
+
+    def __init__(self) -> None:
+        self.sets: list[set[str]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def repeats(self, sentence: str, most: float = 0.7) -> bool:
+        own = set(sentence.split())
+        rare = sorted(own, key=lambda w: len(self.at.get(w, ())))[: len(own) - int(most * len(own))]
+        maybe = {k for w in rare for k in self.at.get(w, ())}
+        return any(len(own & self.sets[k]) / max(len(own), len(self.sets[k])) > most for k in maybe)
+
+    def add(self, sentence: str) -> None:
+        own = set(sentence.split())
+        for w in own:
+            self.at.setdefault(w, []).append(len(self.sets))
+        self.sets.append(own)
+
+
 def gathered(texts: list[str]) -> tuple[list[str], list[list[str]]]:
     """Usable sentences in order, each unlike all before it, and lists of lines."""
     kept: list[str] = []
-    lists = []
+    lists, seen = [], _Seen()
     for text in texts:
         lines = [x.strip() for x in text.splitlines() if x.strip()]
         if len(lines) >= 3 and any(LISTED.match(x) for x in lines[1:]):
             lists.append(lines)
             continue
         for s in (p.strip() for x in sentences(text) for p in pieces(x)):
-            if len(s) >= LEAST and not any(n in s.lower() for n in NOTICES) and all(overlap(s, k) <= 0.7 for k in kept):
+            if len(s) >= LEAST and not any(n in s.lower() for n in NOTICES) and not seen.repeats(s):
                 kept.append(s)
+                seen.add(s)
     if len(kept) == 1 and not lists and len(kept[0]) >= 50:
         parts = [p.strip() for p in PARTS.split(kept[0]) if len(p.strip()) >= 15]
         kept = parts[:3] if len(parts) >= 2 else kept
     return kept, lists
 
 
-def chosen(kept: list[str], title: str, entities: frozenset[str]) -> list[str]:
+def chosen(kept: list[str], title: str, names_one: Callable[[str], bool]) -> list[str]:
     """Sentences of the four roles, filled up by worth, in the source's order."""
-    points = [worth(s, title, k, entities) for k, s in enumerate(kept)]
+    points = [worth(s, title, k, names_one) for k, s in enumerate(kept)]
     roles: dict[str, int] = {}
     if kept:
         roles["lead"] = max(range(min(3, len(kept))), key=lambda k: points[k])
@@ -255,15 +281,15 @@ def safe(blocks: list[str], known: set[str]) -> list[str]:
     return out
 
 
-def compose(title: str | None, summary: str | None, paragraphs: list[str] | None, entities: frozenset[str] = frozenset()) -> tuple[str, list[str]] | None:
-    """(title, blocks), or nothing: without a Persian title, or with fewer than two blocks."""
+def compose(title: str | None, summary: str | None, paragraphs: list[str] | None, names_one: Callable[[str], bool] = lambda low: False) -> tuple[str, list[str]] | None:
+    """(title, blocks), or nothing: without a Persian title, or with fewer than two blocks; ``names_one`` tells whether a lower-case sentence has a known entity."""
     title = (title or "").strip()
     texts = list(dict.fromkeys(t for t in ((x or "").strip() for x in [summary, *(paragraphs if paragraphs is not None else [])]) if t))
     if not title or not is_persian(title) or not texts:
         return None
     head = headline(title)
     kept, lists = gathered(texts)
-    blocks = blocks_of(chosen(kept, head, entities), lists)
+    blocks = blocks_of(chosen(kept, head, names_one), lists)
     if len(blocks) < 2:
         return None
     blocks = safe(blocks, numbers("\n".join([title, *texts])))
