@@ -143,10 +143,16 @@ DOMESTIC_LINKS = r"\.ir/|^[^/]*//[^/]*\.ir$|tejaratnews|donya-e-eqtesad|arzdigit
 DOMESTIC_NAMES = ("تجارت نیوز", "دنیای اقتصاد", "ایسنا", "مهر", "اقتصاد آنلاین")
 
 
+def domestic(key: Column, link: Column, name: Column) -> Column:
+    """Whether a source's key, a link or a source's name is domestic; nulls are not."""
+    z = lambda c: F.coalesce(c, F.lit(""))
+    return F.lower(z(key)).isin(*DOMESTIC_KEYS) | F.lower(z(link)).rlike(DOMESTIC_LINKS) | reduce(lambda a, b: a | b, [F.contains(z(name), F.lit(w)) for w in DOMESTIC_NAMES])
+
+
 def off_profile(folded: Column, key: Column, link: Column, name: Column, most: int = 4) -> Column:
     """map<category, evidence> of a folded text; a domestic source is evidence of its own. Empty: nothing speaks against it."""
     z = lambda c: F.coalesce(c, F.lit(""))
-    home = F.lower(z(key)).isin(*DOMESTIC_KEYS) | F.lower(z(link)).rlike(DOMESTIC_LINKS) | reduce(lambda a, b: a | b, [F.contains(z(name), F.lit(w)) for w in DOMESTIC_NAMES])
+    home = domestic(key, link, name)
     entries = []
     for category, words in OFF_PROFILE.items():
         hits = F.slice(F.array_compact(F.array(*[F.when(z(folded).rlike(scoring.word_pattern(w)), F.lit(w)) for w in words])), 1, most)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketloom.plans import audits, catalog, desk, helpers, office, pages, products, reports, streams, translation  # noqa: F401 - they add to the catalogue
+from marketloom.plans import audits, catalog, desk, drafts, helpers, newsroom, office, pages, products, reports, streams, translation  # noqa: F401 - they add to the catalogue
 from tests.oracle import connect, rows
 
 
