@@ -96,27 +96,28 @@ def title_key(title: Column, n: int = 6) -> Column:
     return F.array_join(F.slice(F.filter(F.split(text.fold(title), " "), lambda w: (w != "") & ~w.isin(*KEYLESS)), 1, n), " ")
 
 
-def desk_evidence(assets: Column, lexicon: dict[str, dict], hits, most: int = 6) -> Column:
-    """map<desk, evidence>: a desk's assets first, then its words.
+def desk_evidence(rows: DataFrame, lexicon: dict[str, dict], hits, most: int = 6) -> DataFrame:
+    """Adds ``desks``, map<desk, evidence>: a desk's assets first, then its words.
 
     ``lexicon``: desk -> {weight, words, assets, ambiguous}; ``hits`` gives the
     words of a list that a text holds (``word_hits``).  Words that are
     also ambiguous count for the first desk that has any, where nothing else
-    speaks for a desk.
+    speaks for a desk.  Evidence is made once, in columns of its own.
     """
     none = F.array().cast("array<string>")
-    upper = F.transform(F.coalesce(assets, none), lambda a: F.upper(a))
-    strong, weak = {}, {}
-    for name, spec in lexicon.items():
+    upper = F.transform(F.coalesce("assets", none), lambda a: F.upper(a))
+    made = []
+    for i, spec in enumerate(lexicon.values()):
         unclear = set(spec.get("ambiguous", ()))
         sure, doubt = [w for w in spec["words"] if w not in unclear], [w for w in spec["words"] if w in unclear]
         own = F.filter(upper, _one_of(spec.get("assets", ())))
-        strong[name] = F.slice(F.concat(own, hits(sure) if sure else none), 1, most)
-        weak[name] = F.slice(hits(doubt), 1, most) if doubt else none
-    nothing = reduce(lambda a, b: a & b, [F.size(c) == 0 for c in strong.values()])
-    first = F.get(F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(k)) for k, c in weak.items()])), F.lit(0))
-    entries = [F.struct(F.lit(k).alias("key"), F.when(nothing & (first == k), weak[k]).otherwise(strong[k]).alias("value")) for k in lexicon]
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
+        made += [F.slice(F.concat(own, hits(sure) if sure else none), 1, most).alias(f"_sure{i}"), (F.slice(hits(doubt), 1, most) if doubt else none).alias(f"_doubt{i}")]
+    rows = rows.select("*", *made)
+    places = range(len(lexicon))
+    nothing = reduce(lambda a, b: a & b, [F.size(f"_sure{i}") == 0 for i in places])
+    first = F.coalesce(*[F.when(F.size(f"_doubt{i}") > 0, i) for i in places], F.lit(-1))
+    entries = [F.struct(F.lit(k).alias("key"), F.when(nothing & (first == i), F.col(f"_doubt{i}")).otherwise(F.col(f"_sure{i}")).alias("value")) for i, k in enumerate(lexicon)]
+    return rows.withColumn("desks", F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))).drop(*[f"_{n}{i}" for n in ("sure", "doubt") for i in places])
 
 
 def _one_of(names):
@@ -157,10 +158,10 @@ def assessed(rows: DataFrame, lexicon: dict[str, dict], now: float, least: float
     hits = lambda words: word_hits(F.col("_folded"), words, F.col("_tokens"), F.col("_persian"))
     numbers = F.slice(F.array_distinct(F.regexp_extract_all(text.ascii_digits(F.col("_claims")), F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))), 1, 12)
     rounds = F.when(F.col("_persian"), F.regexp_count(F.col("_folded"), F.lit(ROUND))).otherwise(0)
+    base = desk_evidence(base, lexicon, hits)
     seen = base.select(
         *[c for c in base.columns if c not in ("_claims", "_folded", "_tokens", "_persian", "link", "source", "source_name")],
         numbers.alias("numbers"),
-        desk_evidence(F.col("assets"), lexicon, hits).alias("desks"),
         (office.domestic(F.col("source"), F.col("link"), F.col("source_name")) | (F.size(hits([w for ws in office.OFF_PROFILE.values() for w in ws])) > 0)).alias("off"),
         F.size(hits(scoring.IMPACT)).alias("impacts"),
         hits(VIRAL).alias("drama"),
