@@ -224,17 +224,21 @@ def judged(stories: DataFrame, market: DataFrame, order: list[Column], only: str
     """``viral`` stories with ``rank`` = 0.55 viral + 0.45 fit and all reasons of rejection: also another desk than ``only``, and a title key that an earlier story in ``order`` has.
 
     Rejected stories claim no key, an empty key claims nothing.  One partial
-    minimum finds the first story of a key, so a title may be as frequent as
-    it likes.  Stories are read several times and stored for that.
+    minimum finds the first story of a key and frequent keys are joined by a
+    broadcast of at most 1,024 rows, so a title may be as frequent as it likes.  Stories are read several times and stored for that.
     """
     open_ = F.col("reject").isNull()
     rows = materialise(viral(materialise(stories, "assessed"), market), "viral")
     if only:
         rows = rows.withColumn("reject", F.when(open_ & (F.col("primary") != only), "other_desk").otherwise(F.col("reject")))
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("id"))
-    first = rows.where(open_ & (F.col("key") != "")).groupBy("key").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1")
-    # only stories of repeated keys meet the table of first ones
-    later = rows.where(open_ & (F.col("key") != "")).select("id", "key").join(first.select("key", F.col("p.id").alias("lead")), "key").where(F.col("id") != F.col("lead")).select("id", F.lit(True).alias("later"))
+    keyed = rows.where(open_ & (F.col("key") != "")).select("id", "key")
+    first = materialise(rows.where(open_ & (F.col("key") != "")).groupBy("key").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", F.col("p.id").alias("lead"), "n"), "firsts")
+    # keys with more than a 1,024th of all stories are at most 1,024: their stories stay where they are
+    often = F.col("n") > rows.count() / 1024
+    hot, rest = F.broadcast(first.where(often)), first.where(~often)
+    pairs = keyed.join(hot, "key").unionByName(keyed.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
+    later = pairs.where(F.col("id") != F.col("lead")).select("id", F.lit(True).alias("later"))
     rows = rows.join(later, "id", "left").withColumn("reject", F.when(F.col("later"), "duplicate").otherwise(F.col("reject"))).drop("later")
     return rows.withColumn("rank", F.when(F.col("reject").isNull(), rounded(0.55 * F.col("viral") + 0.45 * F.col("fit"))))
 
