@@ -120,9 +120,10 @@ def _order(*columns):
 
 @query(f"WITH {CAL}, m AS (SELECT min(sec) AS t0 FROM cal) SELECT id FROM cal, m WHERE sec <= t0 + 7 * 86400")
 def calendar_horizon(s, d):
-    """Events of the first week."""
-    first = calendar_rows(s, d).agg(F.unix_seconds(F.min("ts").cast("timestamp"))).first()[0] or 0
-    return calendar_rows(s, d).where(desk.horizon(F.unix_seconds(F.col("ts").cast("timestamp")), first, 7)).select("id")
+    """Events of the first week, by seconds rounded to the nearest one."""
+    sec = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    first = calendar_rows(s, d).agg(F.min(sec)).first()[0] or 0
+    return calendar_rows(s, d).where(desk.horizon(sec, first, 7)).select("id")
 
 
 @query(f"WITH {CAL} SELECT CAST(ts + INTERVAL 210 MINUTE AS DATE)::VARCHAR AS day, count(*) AS n, count(*) FILTER (impact = 'High') AS high, count(*) FILTER (impact = 'Medium') AS medium FROM cal GROUP BY 1")
