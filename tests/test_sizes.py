@@ -21,3 +21,10 @@ def test_horizon_rounds_seconds_as_its_sql(spark, tmp_path):
     want = sorted(r[0] for r in con.execute(entry.oracle_sql()["calendar_horizon"]).fetchall())
     got = sorted(r.id for r in entry.queries()["calendar_horizon"](spark, str(tmp_path)).collect())
     assert got == want == [0, 1, 2]
+
+
+def test_cosines_divide_whole_sums_once(spark):
+    texts = ["g g g e e e a c", "e c b d a"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert similarity.cosine_pairs(frame, "id", "text", 0.0).first().cosine == 5 / (20**0.5 * 5**0.5)
+    assert similarity.cosine_pairs(frame, "id", "text", 0.5).count() == 0
