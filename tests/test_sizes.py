@@ -1,6 +1,6 @@
 """Results at the edges that only larger tables reach, and steps that must stay bounded."""
 
-import os
+import random
 
 import duckdb
 import pandas as pd
@@ -28,3 +28,18 @@ def test_cosines_divide_whole_sums_once(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     assert similarity.cosine_pairs(frame, "id", "text", 0.0).first().cosine == 5 / (20**0.5 * 5**0.5)
     assert similarity.cosine_pairs(frame, "id", "text", 0.5).count() == 0
+
+
+def test_coverage_drops_pairs_by_signature_and_loses_no_link(spark):
+    draw = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(draw.choice(words[: draw.choice([8, 30, 60])]) for _ in range(draw.choice([1, 3, 4, 8, 30]))) for _ in range(150)]
+    rows = [(i, t, f"s{i % 7}") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id long, text string, source string")
+    got = {r.id: r.sources for r in similarity.coverage(frame, "id", "text", "source").collect()}
+    sets = {i: set(t.split()) for i, t, _ in rows}
+    linked = lambda a, b: len(sets[a] & sets[b]) >= 3 and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.34
+    assert got == {i: len({s for j, _, s in rows if j != i and linked(i, j)}) for i, _, _ in rows}
+    one, two = (spark.createDataFrame([(w,)], "w array<string>").select(*similarity.signature(F.col("w"))).first() for w in (words[:20], words[10:60]))
+    lacking = sum(bin(a & ~b & (2**64 - 1)).count("1") for a, b in zip(one, two, strict=True))
+    assert 5 <= lacking <= 10
