@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import words
+from marketloom.store import discard, materialise
 
 
 def ngram_counts(df: DataFrame, text: str, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
@@ -25,20 +26,51 @@ def ngram_counts(df: DataFrame, text: str, sizes: tuple[int, ...] = (1, 2, 3, 4)
     return rows.groupBy("gram", "size").agg(F.count("*").alias("n"))
 
 
+#: Frequent words up to this many are looked up as a set of literals.
+MOST_WORDS = 4096
+
+
+def _runs(w: Column, n: int) -> Column:
+    """Runs of ``n`` words of an array column; runs over a null are null."""
+    gram = w
+    for k in range(1, n):
+        gram = F.zip_with(gram, F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_compact(gram)
+
+
+def ngram_top(df: DataFrame, text: str, most: int = 200) -> DataFrame:
+    """(gram, size, n): the ``most`` most frequent runs of one to four words, ties by gram and size; stored.
+
+    A run is no more frequent than any of its words, so runs with a word less
+    frequent than the last one of the ``most`` first words are none of them and
+    are not made.
+    """
+    one = materialise(df.select(F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "words")
+    first = [r.n for r in one.orderBy(F.desc("n")).limit(most).select("n").collect()]
+    least = first[-1] if len(first) == most else 1
+    often = [r.gram for r in one.where(F.col("n") >= least).limit(MOST_WORDS + 1).select("gram").collect()]
+    if len(often) > MOST_WORDS:  # as many words of equal count: all runs are counted
+        rows = ngram_counts(df, text)
+    else:
+        w = df.select(F.transform(words(F.coalesce(F.col(text), F.lit(""))), lambda x: F.when(x.isin(often), x)).alias("w")) if often else df.select(F.array().cast("array<string>").alias("w"))
+        runs = [w.select(F.explode(_runs(F.col("w"), k)).alias("gram"), F.lit(k).alias("size")) for k in (2, 3, 4)]
+        rows = reduce(lambda a, b: a.unionByName(b), runs).groupBy("gram", "size").agg(F.count("*").alias("n"))
+        rows = one.where(F.col("n") >= least).select("gram", F.lit(1).alias("size"), "n").unionByName(rows)
+    out = materialise(rows.orderBy(F.desc("n"), "gram", "size").limit(most), "top")
+    discard(one)
+    return out
+
+
 def ngram_examples(df: DataFrame, key: str, text: str, grams: DataFrame, most: int = 2) -> DataFrame:
     """Adds ``examples`` to grams (gram, size): the keys of the ``most`` shortest texts with each, found in partial minima.
 
-    ``grams`` is a report of a bounded number of rows and is broadcast.
+    ``grams`` is a report of a bounded number of rows and is broadcast; other
+    words than its own make no runs.
     """
-    w = df.select(F.col(key).alias("key"), F.length(text).alias("len"), F.explode(F.array(words(F.coalesce(F.col(text), F.lit(""))))).alias("w"))
-    shifted = lambda k: F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0)))
-    out = []
-    for n in range(1, 5):
-        gram = F.col("w")
-        for k in range(1, n):
-            gram = F.zip_with(gram, shifted(k), lambda a, b: F.concat(a, F.lit(" "), b))
-        out.append(w.select("key", "len", F.explode(F.array_distinct(F.array_compact(gram))).alias("gram"), F.lit(n).alias("size")).join(F.broadcast(grams), ["gram", "size"]))
-    rows = reduce(lambda a, b: a.unionByName(b), out)
+    often = sorted({w for r in grams.select("gram").collect() for w in r.gram.split(" ")})
+    known = lambda x: F.when(x.isin(often), x) if often else F.lit(None).cast("string")
+    w = df.select(F.col(key).alias("key"), F.length(text).alias("len"), F.transform(words(F.coalesce(F.col(text), F.lit(""))), known).alias("w"))
+    rows = reduce(lambda a, b: a.unionByName(b), [w.select("key", "len", F.explode(F.array_distinct(_runs(F.col("w"), n))).alias("gram"), F.lit(n).alias("size")).join(F.broadcast(grams), ["gram", "size"]) for n in range(1, 5)])
     rank = F.row_number().over(W.partitionBy("gram", "size").orderBy("len", "key"))
     best = rows.withColumn("rank", rank).where(F.col("rank") <= most)
     return best.groupBy(*grams.columns).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x.key).alias("examples"))
