@@ -228,7 +228,7 @@ def signal_claims(s, d):
     posts = table(s, d, "benchmark").select(F.lit("post").alias("kind"), F.col("item_id").alias("key"), signals.signal_words(F.col("text")).alias("words"), F.array().cast("array<string>").alias("query"))
     asked = F.when(F.col("p_partkey") % 4 == 0, "bitcoin").when(F.col("p_partkey") % 4 == 1, "gold price").otherwise("nothing")
     videos = table(s, d, "part").where("p_size < 5").select(F.lit("video").alias("kind"), F.col("p_partkey").alias("key"), signals.signal_words(F.concat("p_name", F.lit(" gold moves"))).alias("words"), signals.signal_words(asked).alias("query"))
-    return signals.claim(signals.match(stories, posts.unionByName(videos)), stories)
+    return signals.owners(stories, posts.unionByName(videos))
 
 
 # ---- alerts over prices, events and news
