@@ -8,12 +8,13 @@ whatever their split.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -50,38 +51,51 @@ def vector_of(tokens, least: float) -> tuple[list[str], list[int], int]:
 
 
 class _Pairs(StatefulProcessor):
-    """Pairs of stories under one token whose cosine reaches the threshold within the window; the later one is ``b``."""
+    """Pairs of stories of one span of time and the next whose cosine reaches the threshold within the window; the later one is ``b``.
+
+    State is a list that grows by each batch's stories and goes as a whole when
+    the span is over.  ``own`` stories are of the key's span, others of the
+    span before; two of those have met there.
+    """
 
     def __init__(self, least: float, seconds: int):
         self.least, self.seconds = least, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "id string", "ts bigint, tokens array<string>, tf array<bigint>")
+        self.seen = handle.getListState("seen", "id string, sec bigint, own boolean, tokens array<string>, tf array<bigint>, meet array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = sorted(((int(r.sec), str(r.id), bool(r.stores), dict(zip(r.tokens, (int(x) for x in r.tf), strict=True))) for f in rows for r in f.itertuples()), key=lambda r: r[:2])
-        held = {k[0]: (v[0], dict(zip(v[1], v[2], strict=True))) for k, v in self.seen.iterator()} if self.seen.exists() else {}
-        size = lambda v: math.sqrt(sum(x * x for x in v.values()))
-        out = []
-        for sec, name, stores, vector in found:
-            for other, (then, before) in held.items():
-                if other != name and abs(sec - then) < self.seconds:
+        new = sorted(((str(r.id), int(r.sec), bool(r.own), list(r.tokens), [int(x) for x in r.tf], list(r.meet)) for f in rows for r in f.itertuples()), key=lambda r: (r[1], r[0]))
+        stories, under, out = [], {}, []
+
+        def add(name, sec, own, tokens, tf, meet) -> None:
+            stories.append((name, sec, own, dict(zip(tokens, tf, strict=True)), math.sqrt(sum(x * x for x in tf))))
+            for w in meet:
+                under.setdefault(w, []).append(len(stories) - 1)
+
+        old = list(self.seen.get()) if self.seen.exists() else []
+        for r in old:
+            add(*r)
+        for r in new:
+            others = {k for w in r[5] for k in under.get(w, ())}
+            add(*r)
+            name, sec, own, vector, size = stories[-1]
+            for k in others:
+                other, then, theirs, before, length = stories[k]
+                if other != name and (own or theirs) and abs(sec - then) < self.seconds:
                     few, many = (vector, before) if len(vector) < len(before) else (before, vector)
                     dot = sum(x * many.get(t, 0) for t, x in few.items())
-                    if dot and dot / (size(vector) * size(before)) >= self.least:
+                    if dot and dot / (size * length) >= self.least:
                         out.append((other, name) if (then, other) < (sec, name) else (name, other))
-            if stores:
-                held[name] = (sec, vector)
-                self.seen.updateValue((name,), (sec, list(vector), list(vector.values())))
-                self.handle.registerTimer((sec + self.seconds) * 1000)
+        self.seen.appendList(new)
+        if not old:
+            self.handle.registerTimer((int(key[0]) + 1) * self.seconds * 1000)
         yield pd.DataFrame(out, columns=["a", "b"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Drops the stories that are out of the window at the time of the timer."""
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        for k in [k for k, v in self.seen.iterator() if v[0] + self.seconds <= now]:
-            self.seen.removeKey(k)
+        """Drops a span that is over: all that come now are later."""
+        self.seen.clear()
         yield pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str)})
 
     def close(self) -> None:
@@ -91,22 +105,27 @@ class _Pairs(StatefulProcessor):
 def similar_pairs(stream: DataFrame, least: float = 0.65, hours: int = 48, late: str = "1 hour", salts: int = 4) -> DataFrame:
     """(a, b): stories (id, ts, text) whose term counts have a cosine of ``least`` or more and that are less than ``hours`` apart, a before b.
 
-    Stories meet under the tokens of their prefixes.  Those under one token are
-    dealt to ``salts`` keys: a story is stored under one of them and compared
-    under all, so a token that very many stories share is split.  A pair that
-    meets under several tokens comes several times.
+    Stories meet under the tokens of their prefixes, in spans of ``hours``: a
+    story goes to its own span and to the next one, so two that are near enough
+    share one.  The tokens of a span are dealt to ``salts`` keys, and a story
+    goes to those of its tokens; a key holds two spans of time, however long
+    the stream is.  A pair that meets under several keys comes several times.
     """
 
     @F.pandas_udf("tokens array<string>, tf array<bigint>, n int")
     def vectors(tokens: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([vector_of(t, least) for t in tokens], columns=["tokens", "tf", "n"])
 
+    seconds = hours * 3600
     rows = stream.withWatermark("ts", late).select(F.col("id").cast("string").alias("id"), "ts", F.unix_seconds("ts").alias("sec"), vectors(story_tokens(F.col("text"))).alias("v"))
-    keys = rows.withColumn("token", F.explode(F.slice("v.tokens", F.lit(1), F.col("v.n")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    stores = F.pmod(F.xxhash64("id"), F.lit(salts)) == F.col("salt")
+    prefix, dealt = F.slice("v.tokens", F.lit(1), F.col("v.n")), lambda w: F.pmod(F.xxhash64(w), F.lit(salts))
+    keys = rows.withColumn("salt", F.explode(F.array_distinct(F.transform(prefix, dealt))))
+    keys = keys.withColumn("meet", F.filter(prefix, lambda w: dealt(w) == F.col("salt")))
+    span = F.floor(F.col("sec") / seconds)
+    keys = keys.withColumn("place", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))))
     state_store(stream.sparkSession)
-    flat = keys.select("token", "salt", "id", "ts", "sec", stores.alias("stores"), "v.tokens", "v.tf")
-    return flat.groupBy("token", "salt").transformWithStateInPandas(_Pairs(least, hours * 3600), "a string, b string", "append", "EventTime")
+    flat = keys.select("place.span", "salt", "id", "ts", "sec", "place.own", "v.tokens", "v.tf", "meet")
+    return flat.groupBy("span", "salt").transformWithStateInPandas(_Pairs(least, seconds), "a string, b string", "append", "EventTime")
 
 
 def first_stories(stories: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -122,22 +141,28 @@ class _Checkpoints(StatefulProcessor):
         self.open = handle.getValueState("open", "at array<bigint>, id array<string>, h array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        goals = list(zip(*self.open.get(), strict=True)) if self.open.exists() else []
+        """Columns of numbers only are held, as a batch may bring very many rows of a key."""
+        held = self.open.get() if self.open.exists() else ([], [], [])
+        goals = [(np.array(held[0], dtype=np.int64), pa.array(held[1], pa.string()), np.array(held[2], dtype=np.int32))]
         ticks = []
         for f in rows:
-            tick = f.h == 0
-            t = f[tick].sort_values(["us", "tick"]).drop_duplicates("us")  # of ticks of one moment the first
-            ticks += list(zip(t.us.tolist(), t.tick.tolist(), t.price.tolist(), strict=True))
-            g = f[~tick]
-            goals += list(zip(g.us.tolist(), g.id.astype(str).tolist(), g.h.tolist(), strict=True))
-        heapq.heapify(goals)
-        out = []
-        for us, _, price in sorted(ticks, key=lambda t: t[:2]):
-            while goals and goals[0][0] <= us:
-                at, name, h = heapq.heappop(goals)
-                out.append((name, int(h), price))
-        self.open.update(tuple(list(c) for c in zip(*goals, strict=True)) if goals else ([], [], []))
-        yield pd.DataFrame(out, columns=["id", "h", "price_after"])
+            tick = (f.h == 0).to_numpy()
+            t, g = f[tick], f[~tick]
+            ticks.append((t.us.to_numpy(np.int64), t.tick.to_numpy(np.int64), t.price.to_numpy(np.float64)))
+            goals.append((g.us.to_numpy(np.int64), pa.array(g.id.astype(str), pa.string()), g.h.to_numpy(np.int32)))
+        us, tick, price = (np.concatenate(c) for c in zip(*ticks, strict=True))
+        order = np.lexsort((tick, us))
+        us, price = us[order], price[order]
+        first = np.flatnonzero(np.diff(us, prepend=us[:1] - 1))  # of ticks of one moment the first
+        us, price = us[first], price[first]
+        at, h = (np.concatenate([g[k] for g in goals]) for k in (0, 2))
+        ids = pa.chunked_array([g[1] for g in goals], pa.string())
+        found = np.searchsorted(us, at)
+        done, left = np.flatnonzero(found < len(us)), np.flatnonzero(found == len(us))
+        self.open.update((at[left].tolist(), ids.take(pa.array(left)).to_pylist(), h[left].tolist()))
+        for k in range(0, max(1, len(done)), 10_000):
+            part = done[k : k + 10_000]
+            yield pd.DataFrame({"id": pd.Series(ids.take(pa.array(part)).to_pylist(), dtype=object), "h": h[part], "price_after": price[found[part]]})
 
     def close(self) -> None:
         pass
