@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from marketloom.operators import similarity
+from marketloom.operators import quality, signals, similarity
+from marketloom.streaming import similar, states
 
 
 def test_horizon_rounds_seconds_as_its_sql(spark, tmp_path):
@@ -43,3 +44,70 @@ def test_coverage_drops_pairs_by_signature_and_loses_no_link(spark):
     one, two = (spark.createDataFrame([(w,)], "w array<string>").select(*similarity.signature(F.col("w"))).first() for w in (words[:20], words[10:60]))
     lacking = sum(bin(a & ~b & (2**64 - 1)).count("1") for a, b in zip(one, two, strict=True))
     assert 5 <= lacking <= 10
+
+
+def test_owners_are_the_claims_of_all_matches(spark):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(14)] + ["gold", "moves"]
+    pick = lambda n: draw.sample(words, n)
+    stories = spark.createDataFrame([(i, pick(draw.randint(0, 5)), draw.choice([None, 0.2, 0.9])) for i in range(80)], "id long, words array<string>, cred double")
+    posts = [("post", i, pick(draw.randint(0, 4)), []) for i in range(30)]
+    videos = [("video", i, ["gold", "moves", f"only{i}", *pick(draw.randint(0, 1))], draw.choice([["gold", "w1"], ["nothing"], None])) for i in range(60)]
+    given = spark.createDataFrame(posts + videos, "kind string, key long, words array<string>, query array<string>")
+    given = given.withColumn("words", F.array_distinct("words"))
+    want = signals.claim(signals.match(stories, given), stories).collect()
+    got = signals.owners(stories, given).collect()
+    assert sorted(map(tuple, got)) == sorted((r.kind, r.key, r.id, r.hits) for r in want) and len(got) > 40
+
+
+def test_top_runs_count_frequent_words_only(spark):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("aaabbbccdefghij") for _ in range(draw.randint(0, 12))) for _ in range(60)] + [None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    every = quality.ngram_counts(frame, "text")
+    for most in (3, 7, 5000):
+        want = every.orderBy(F.desc("n"), "gram", "size").limit(most).collect()
+        assert sorted(map(tuple, quality.ngram_top(frame, "text", most).collect())) == sorted(map(tuple, want))
+
+
+class _State:
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def getListState(self, *_):
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_span_of_stories_is_one_list_with_one_timer():
+    state, flow = _State(), similar._Pairs(0.65, 100)
+    flow.init(state)
+    story = lambda name, sec, own: (name, sec, own, ["gold", "rises"], [1, 1], ["gold"])
+    give = lambda *rows: [tuple(r) for f in flow.handleInputRows((3, 0), iter([pd.DataFrame(rows, columns=["id", "sec", "own", "tokens", "tf", "meet"])]), None) for r in f.itertuples(index=False)]
+    assert give(story("a", 250, False), story("b", 260, False)) == []
+    assert give(story("c", 355, True), story("d", 399, True)) == [("b", "c"), ("c", "d")]
+    assert state.timers == [400_000] and len(state.rows) == 4
+    list(flow.handleExpiredTimer((3, 0), None, None))
+    assert state.rows == []
+
+
+def test_rows_of_a_key_come_in_steps():
+    n = 2 * states.STEP + 5
+    frames = [pd.DataFrame({"ts": range(n - 1, -1, -1), "value": 1.0}).iloc[k::2] for k in range(2)]
+    rows = states._ordered(iter(frames), "ts", "value")
+    assert not isinstance(rows, list) and [len(f) for f in states._given(rows, ["ts", "value"])] == [states.STEP, states.STEP, 5]
+    assert [len(f) for f in states._given(iter([]), ["ts"])] == [0]
