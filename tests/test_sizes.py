@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from marketloom.operators import quality, signals, similarity
+from marketloom.operators import postedit, quality, signals, similarity
 from marketloom.streaming import similar, states
 
 
@@ -111,3 +111,11 @@ def test_rows_of_a_key_come_in_steps():
     rows = states._ordered(iter(frames), "ts", "value")
     assert not isinstance(rows, list) and [len(f) for f in states._given(rows, ["ts", "value"])] == [states.STEP, states.STEP, 5]
     assert [len(f) for f in states._given(iter([]), ["ts"])] == [0]
+
+
+def test_no_window_of_a_joined_lexicon_is_broadcast(spark):
+    terms = spark.createDataFrame([("latin", w, "واژه", False) for w in ("gold", "silver")], "kind string, key string, value string, entity boolean")
+    rows = spark.createDataFrame([(0, "a gold here"), (1, None)], "id long, text string")
+    out = postedit.edit(rows, terms, most=1)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.edited for r in out.collect()} == {0: "a واژه here", 1: None}
