@@ -10,20 +10,20 @@ whatever their length; every pair of blocks that together hold three words (two
 in lines of about six words or fewer) is a bucket key.  Lines with more changes
 agree by chance: of those with three, three in four.
 
-In a bucket every node is compared with one centre, if their lengths fit and
-their SimHashes differ in at most APART bits.  Buckets that hold several
-components after that are split by length (two overlapping classes, so lines of
-fitting lengths stay together), then by the blocks of another, independent
-SimHash, which again keeps all lines of two changed words together, for
-``levels`` levels in all (two: by length only); no bucket's pairs are
-enumerated.  A line that is like none of its buckets' centres stays apart, even
-if it is like another member.
+In a bucket every node is first compared with one centre, if their lengths fit
+and their SimHashes differ in at most APART bits, which settles groups of many
+copies with few pairs.  In buckets that hold several components after that,
+every pair of nodes of different components and fitting lengths is compared
+too, unless it was before; signatures drop only pairs that surely share less
+than half of their words.  So no pair that shares a bucket is lost.  Large
+buckets are cut into slices of at most about SLICE nodes, and any two slices
+meet in a cell of their own, so no task holds a whole bucket.
 
 A link needs an edit similarity of ``similar`` between the norms: at most the
 rest of the longer norm's characters is inserted, deleted or substituted, and at
-least half of the distinct words of either norm are the other's too.  Of norms
-above LONG characters, the characters of words that only one of them holds are
-counted instead, as edit distances of such lines have no bound on their time.  Of each connected group the first occurrence, by doc_id and line
+least half of the distinct words of either norm are the other's too.  This holds
+for norms of any length; bands of edits grow fourfold, so the time of an edit
+distance follows the edits that there are.  Of each connected group the first occurrence, by doc_id and line
 number, stays; every other occurrence leaves its document.
 
 Defined cases: lines without words, and null or empty texts, stay as they are;
@@ -51,11 +51,12 @@ KEYS = math.comb(BLOCKS, 2)
 #: Words that one generated row sums up, and words counted together: a counter of 8 bits in a positive long holds 127.
 STEP, CHUNK = 2, 124
 LANE = 0x0101010101010101
-LONG = 2_000
-#: Edits tried first: most similar lines differ in fewer, and a narrow band of the edit table is cheap.
-FEW = (12, 40)
-#: SimHash bits, of all six blocks, in which compared lines may differ: unrelated ones that share two blocks differ in 36 of the other 72.
+#: Edits tried one after the other: most similar lines differ in few, and a narrow band of the edit table is cheap.
+BANDS = (12, 40, 160, 640, 2_560)
+#: SimHash bits, of all six blocks, in which a line and its bucket's centre may differ at first: unrelated ones that share two blocks differ in 36 of the other 72.
 APART = 30
+#: Longs of a signature of words, and nodes of a bucket that one slice holds.
+LONGS, SLICE = 4, 512
 
 
 def lines_of(docs: DataFrame, *names: str) -> DataFrame:
@@ -125,14 +126,13 @@ def _majority(half: str, words: list[str]) -> str:
     return " | ".join([*out, *[_state(n, b) for b, n in enumerate(words)]])
 
 
-def bucket_keys(inside: str | None = None) -> Column:
+def bucket_keys() -> Column:
     """The keys, from bits_a and bits_b, of all pairs of blocks that hold enough words, of their bits and word numbers; null for other pairs."""
     half = ["bits_a"] * 3 + ["bits_b"] * 3
     block = [f"shiftrightunsigned({h}, {WIDTH * (b % 3)}) & {(1 << WIDTH) - 1}L" for b, h in enumerate(half)]
     held = [f"(shiftrightunsigned({h}, {3 * WIDTH + 3 * (b % 3)}) & 7L)" for b, h in enumerate(half)]
     enough = f"if({' + '.join(held)} > {BLOCKS}, 3, 2)"
-    with_ = f"{inside}, " if inside else ""
-    keys = [f"if({held[i]} + {held[j]} >= {enough}, xxhash64({with_}{c}, {block[i]}, {block[j]}, {held[i]}, {held[j]}), cast(null AS bigint))" for c, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
+    keys = [f"if({held[i]} + {held[j]} >= {enough}, xxhash64({c}, {block[i]}, {block[j]}, {held[i]}, {held[j]}), cast(null AS bigint))" for c, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
     return F.expr(f"array({', '.join(keys)})")
 
 
@@ -162,20 +162,27 @@ def middles(wa: Column, wb: Column) -> tuple[Column, Column]:
     return cut(ra), cut(rb)
 
 
-def similarity_holds(a: Column, b: Column, similar: float) -> Column:
-    """Whether two different norms differ in at most 1 - ``similar`` of the longer one's characters and share half of their words."""
-    most = edits_allowed(F.length(a), F.length(b), similar)
-    wa, wb = F.split(a, " ", -1), F.split(b, " ", -1)
-    ma, mb = middles(wa, wb)
-    lev = lambda limit: F.call_function("levenshtein", ma, mb, limit)
-    exact = lev(most) >= 0
-    for few in reversed(FEW):
-        exact = F.when(lev(F.least(most, F.lit(few))) >= 0, True).when(most <= few, False).otherwise(exact)
+def shares_half(wa: Column, wb: Column) -> Column:
+    """Whether at least half of the distinct words of either list are the other's too."""
     da, db = F.array_distinct(wa), F.array_distinct(wb)
-    half = 2 * F.size(F.array_intersect(da, db)) >= F.greatest(F.size(da), F.size(db))
-    size = lambda x, y: F.length(F.array_join(F.array_except(x, y), " "))
-    rest = F.greatest(size(da, db), size(db, da)) <= most
-    return F.when(most.isNull() | ~half, False).when(F.greatest(F.length(a), F.length(b)) <= LONG, exact).otherwise(rest)
+    return 2 * F.size(F.array_intersect(da, db)) >= F.greatest(F.size(da), F.size(db))
+
+
+def within(a: Column, b: Column, most: Column) -> Column:
+    """Whether two texts differ in at most ``most`` characters, by bands of edits that grow."""
+    lev = lambda limit: F.call_function("levenshtein", a, b, limit)
+    out = lev(most) >= 0
+    for few in reversed(BANDS):
+        out = F.when(lev(F.least(most, F.lit(few))) >= 0, True).when(most <= few, False).otherwise(out)
+    return out
+
+
+def signature(words: Column) -> list[Column]:
+    """LONGS longs in which every word of a list sets one bit, s0 and on: a bit that only one of two lines has is a word that the other lacks."""
+    h = F.transform(words, lambda w: F.xxhash64(F.lit(0x51), w))
+    one = F.lit(1).cast("long")
+    part = lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.when(F.shiftrightunsigned(x, 6) % LONGS == k, acc.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
+    return [part(k).alias(f"s{k}") for k in range(LONGS)]
 
 
 class _Texts:
@@ -206,21 +213,51 @@ class _Texts:
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """The pairs whose different norms differ in at most 1 - ``similar`` of the longer one's characters and share half of their words."""
     b = pairs.join(texts.select(F.col("node").alias("b"), F.col("norm").alias("nb")), "b")
     both = b.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("na")), "a")
-    return both.where(similarity_holds(F.col("na"), F.col("nb"), similar)).select("a", "b")
+    most = edits_allowed(F.length("na"), F.length("nb"), similar)
+    # generators keep what they make as columns: words and middles are made once a pair, not once a band
+    once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))).alias("x")
+    split = both.select("a", "b", once(most=most, wa=F.split("na", " ", -1), wb=F.split("nb", " ", -1))).select("a", "b", "x.*").where("most is not null")
+    half = split.where(shares_half(F.col("wa"), F.col("wb")))
+    ma, mb = middles(F.col("wa"), F.col("wb"))
+    cut = half.select("a", "b", once(most=F.col("most"), ma=ma, mb=mb)).select("a", "b", "x.*")
+    return cut.where(within(F.col("ma"), F.col("mb"), F.col("most"))).select("a", "b")
 
 
 def _crowd(member: DataFrame, rows: int) -> DataFrame:
     """(bucket, m1, a1, m): members of buckets of several nodes with the bucket's centre and size; stored."""
     centre = member.groupBy("bucket").agg(F.min("m1").alias("a1"), F.max("m1").alias("z1"), F.count("*").alias("m")).where("a1 <> z1").drop("z1")
     centre = materialise(centre, "centres")
+    # most buckets hold one node: their rows are dropped where they are made
+    member = sieve(member, "bucket", centre, "bucket", bits=20)
     crowd = materialise(join_skewed(member, centre, ["bucket"], "m", rows), "crowd")
     discard(centre)
     return crowd
 
 
-def groups(docs: DataFrame, similar: float = 0.8, levels: int = 2) -> tuple[DataFrame, DataFrame]:
+def _meeting(own: DataFrame, similar: float) -> DataFrame:
+    """(a, b): all pairs of nodes of one bucket that lie in different components, fit in length and may share half of their words.
+
+    ``own`` has bucket, its number m of nodes, node, root, length, its number of
+    words and their signature.  Slices i and j of a bucket meet in cell (i, j).
+    """
+    slices = F.ceil(F.col("m") / SLICE)
+    own = own.withColumn("slice", F.pmod(F.xxhash64("node"), slices))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), slices - 1), lambda j: F.struct(F.least("slice", j).alias("lo"), F.greatest("slice", j).alias("hi")))
+    signs = [f"s{k}" for k in range(LONGS)]
+    dealt = own.select("bucket", F.explode(cells).alias("cell"), *[F.col(c) for c in ("slice", "node", "root", "length", "size", *signs)])
+    side = lambda x: dealt.select("bucket", "cell", *[F.col(c).alias(f"{c}_{x}") for c in ("slice", "node", "root", "length", "size", *signs)])
+    lacks = lambda x, y: reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{s}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{s}_{y}")))) for s in signs])
+    shared = F.least(F.col("size_a") - lacks("a", "b"), F.col("size_b") - lacks("b", "a"))
+    met = side("a").join(side("b"), ["bucket", "cell"]).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
+    met = met.where((F.col("cell.lo") == F.least("slice_a", "slice_b")) & (F.col("cell.hi") == F.greatest("slice_a", "slice_b")))
+    met = met.where(edits_allowed(F.col("length_a"), F.col("length_b"), similar).isNotNull() & (2 * shared >= F.greatest("size_a", "size_b")))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def groups(docs: DataFrame, similar: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """All occurrences, and for every node in a group of several occurrences its group: (n1, n2, root, n)."""
     found = materialise(occurrences(docs), "lines")
     named = found.withColumn("place", place(F.col("doc_id"), F.col("key"), F.col("pos")))
@@ -232,61 +269,46 @@ def groups(docs: DataFrame, similar: float = 0.8, levels: int = 2) -> tuple[Data
     known = nodes.select(node, F.col("n1").alias("m1"), "length", "bits_a", "bits_b")
     texts = _Texts(docs, nodes)
     member = nodes.select(F.explode(bucket_keys()).alias("bucket"), F.col("n1").alias("m1")).where("bucket is not null")
-    rows = nodes.count() * KEYS
-    links = tried = roots = None
-    old = [nodes]
-    for level in range(1, levels + 1):
-        crowd = _crowd(member, rows)
-        pairs = crowd.where("a1 <> m1").select("a1", "m1").distinct()
-        ends = sieve(known, "m1", pairs.select("a1").unionAll(pairs.select("m1")), "a1")
-        side = lambda n, m: ends.select(F.col("node").alias(n), F.col("m1").alias(m), *[F.col(c).alias(f"{c}_{n}") for c in ("length", "bits_a", "bits_b")])
-        pairs = pairs.join(side("b", "m1"), "m1").join(side("a", "a1"), "a1").where(edits_allowed(F.col("length_a"), F.col("length_b"), similar).isNotNull())
-        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"bits_{h}_a").bitwiseXOR(F.col(f"bits_{h}_b")).bitwiseAND(F.lit((1 << 3 * WIDTH) - 1))) for h in "ab"])
-        pairs = pairs.where(apart <= APART).select("a", "b")
-        if roots is not None:
-            a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-            apart = pairs.join(a, "a", "left").join(b, "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
-            pairs = apart.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        new = _links(pairs, texts.of(pairs), similar)
-        new = materialise(new if links is None else links.unionAll(new), "links")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        old += [crowd, pairs, new]
-        links = new
-        discard(roots)
+    crowd = _crowd(member, nodes.count() * KEYS)
+    ends = materialise(sieve(known, "m1", crowd, "m1"), "ends")
+
+    side = lambda n, m: ends.select(F.col("node").alias(n), F.col("m1").alias(m), *[F.col(c).alias(f"{c}_{n}") for c in ("length", "bits_a", "bits_b")])
+    pairs = crowd.where("a1 <> m1").select("a1", "m1").distinct().join(side("b", "m1"), "m1").join(side("a", "a1"), "a1")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"bits_{h}_a").bitwiseXOR(F.col(f"bits_{h}_b")).bitwiseAND(F.lit((1 << 3 * WIDTH) - 1))) for h in "ab"])
+    pairs = pairs.where(edits_allowed(F.col("length_a"), F.col("length_b"), similar).isNotNull() & (apart <= APART))
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = materialise(_links(pairs, texts.of(pairs), similar), "links")
+    roots = components(links)
+
+    # buckets that lie in several components: all other pairs of these components
+    placed = crowd.select("bucket", "m1").join(ends.select("node", "m1", "length"), "m1").join(roots, "node", "left")
+    placed = materialise(placed.select("bucket", "node", "length", F.xxhash64(F.coalesce("root", "node")).alias("root")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("bucket", "m")
+    mixed = materialise(mixed, "mixed")
+    own = join_skewed(placed, mixed, ["bucket"], "m", placed.count())
+    wanted = own.select("node").distinct()
+    norms = texts.of(wanted.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(wanted, "node", "left_semi")
+    words = norms.select("node", F.array_distinct(F.split("norm", " ", -1)).alias("words"))
+    signed = materialise(words.select("node", F.size("words").alias("size"), *signature(F.col("words"))), "signed")
+    rest = _meeting(own.join(signed, "node"), similar).join(pairs, ["a", "b"], "left_anti")
+    rest = materialise(rest, "rest")
+    old = [nodes, crowd, ends, pairs, links, placed, mixed, signed, rest, roots]
+    if not rest.isEmpty():
+        links = materialise(links.unionAll(_links(rest, texts.held, similar)), "links")
         roots = components(links)
-        if level == levels:
-            break
-        # buckets of three or more nodes that lie in several components are split by a SimHash of their own
-        placed = crowd.where("m > 2").select("bucket", "m1").join(ends, "m1").join(roots, "node", "left")
-        placed = materialise(placed.select("bucket", "m1", "node", "length", F.xxhash64(F.coalesce("root", "node")).alias("root")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        own = materialise(placed.join(mixed, "bucket", "left_semi").select("bucket", "m1", "node", "length"), "mixed")
-        old += [placed, own]
-        some = own.count()
-        if not some:
-            break
-        if level == 1:  # lines whose lengths fit meet in one of two classes
-            inside = F.floor(F.log("length") / math.log(max(1.01, 1 / similar)))
-            keys, held, width = F.array(*[F.xxhash64("bucket", inside + i) for i in range(2)]), own, 2
-        else:
-            words = texts.of(own.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(own.select("node").distinct(), "node", "left_semi")
-            signed = materialise(simhash(words.select("node", F.split("norm", " ", -1).alias("words")), ["node"], "words", level), "signed")
-            old.append(signed)
-            keys, held, width = bucket_keys("bucket"), own.join(signed, "node"), KEYS
-        member, rows = held.select(F.explode(keys).alias("bucket"), "m1").where("bucket is not null"), some * width
+        old += [links, roots]
 
     grouped = nodes.select(node, "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     several = grouped.groupBy("root").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
     out = materialise(grouped.join(several, "root").select("node.n1", "node.n2", "root", "n"), "groups")
-    for table in (*old, texts.held, roots):
+    for table in (*old, texts.held):
         discard(table)
     return found, out
 
 
-def surplus(docs: DataFrame, similar: float = 0.8, levels: int = 2) -> DataFrame:
+def surplus(docs: DataFrame, similar: float = 0.8) -> DataFrame:
     """(doc_id, key, gone): the line numbers that leave each document (its id and its text's hash); stored."""
-    found, grouped = groups(docs, similar, levels)
+    found, grouped = groups(docs, similar)
     lines = join_skewed(found.select("doc_id", "key", "pos", "n1", "n2"), grouped, ["n1", "n2"], "n", found.count())
     lines = materialise(lines.select("doc_id", "key", "pos", "root", place(F.col("doc_id"), F.col("key"), F.col("pos")).alias("place")), "grouped")
     first = lines.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "key", "place")).alias("first")).select("first.place")
@@ -297,9 +319,9 @@ def surplus(docs: DataFrame, similar: float = 0.8, levels: int = 2) -> DataFrame
     return out
 
 
-def dedup(docs: DataFrame, similar: float = 0.8, levels: int = 2, emptied: str = "emptied") -> DataFrame:
+def dedup(docs: DataFrame, similar: float = 0.8, emptied: str = "emptied") -> DataFrame:
     """The documents with one occurrence of every group of lines; adds ``emptied``: it had lines with words and lost all of them."""
-    gone = surplus(docs.select("doc_id", "text"), similar, levels)
+    gone = surplus(docs.select("doc_id", "text"), similar)
     rest = [c for c in docs.columns if c != emptied]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.xxhash64("text").alias("row_key"), F.xxhash64("doc_id", F.xxhash64("text")).alias("row_name"))
     lost = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "gone", F.xxhash64("doc_id", "key").alias("gone_name"))

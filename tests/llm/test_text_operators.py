@@ -288,3 +288,38 @@ def test_neighbouring_notices():
     """An inexact notice before an exact one is reported too, and one after another licence's."""
     assert _notices("released under the mit licence released under the mit license") == [("mit", 0, 4, 1), ("mit", 5, 9, 0)]
     assert _notices("released under the bsd license relaesed undr the mit license") == [("mit", 5, 9, 3)]
+
+
+def test_no_pair_of_a_bucket_is_lost(spark):
+    """Lines that are like a member of their bucket and not like its centre: all pairs meet, in a bucket of several slices too."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, texts = [word(4) for _ in range(12)], []
+    for _ in range(30):
+        own = [word(30) for _ in range(3)]
+        texts += [" ".join([*common, *[w + "z" * k for w in own]]) for k in range(2)]
+    texts += [" ".join(word(9) for _ in range(13)) for _ in range(5)]
+    rows = spark.createDataFrame([(1, len(texts), (i, i), i // 4, t) for i, t in enumerate(texts)], "bucket long, m long, node struct<n1: long, n2: long>, root long, text string")
+    words = F.split("text", " ")
+    own = rows.select("bucket", "m", "node", "root", F.length("text").alias("length"), F.size(words).alias("size"), *lines.signature(words))
+    before, lines.SLICE = lines.SLICE, 7
+    try:
+        met = [(r.a.n1, r.b.n1) for r in lines._meeting(own, 0.8).collect()]
+    finally:
+        lines.SLICE = before
+    alike = {(a, b) for b, y in enumerate(texts) for a, x in enumerate(texts[:b]) if 2 * len(set(x.split()) & set(y.split())) >= 15 and abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and a // 4 != b // 4}
+    assert len(met) == len(set(met)) and alike and alike <= set(met) and all(a // 4 != b // 4 and b < 60 for a, b in met)
+
+
+def test_long_lines_are_compared_by_edits(spark):
+    """A line of thousands of characters is compared by its characters as a short one is: small edits in many words are few edits."""
+    base = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)]
+    typos = [w if i % 5 else w + "q" for i, w in enumerate(base)]
+    cut = ["internationalisationofwords" if i % 5 == 0 else w for i, w in enumerate(base)]
+    texts = spark.createDataFrame([((k, k), " ".join(w)) for k, w in enumerate((base, typos, cut))], "node struct<n1: long, n2: long>, norm string")
+    pairs = spark.createDataFrame([((0, 0), (1, 1)), ((0, 0), (2, 2))], "a struct<n1: long, n2: long>, b struct<n1: long, n2: long>")
+    long = [" ".join(f"{'x' * 30}{i} {w}" if i % 4 == 0 else w for i, w in enumerate(base)), " ".join(f"{'x' * 29}y{i} {w}" if i % 4 == 0 else w for i, w in enumerate(base))]
+    texts = texts.unionAll(spark.createDataFrame([((k + 5, k + 5), t) for k, t in enumerate(long)], texts.schema))
+    pairs = pairs.unionAll(spark.createDataFrame([((5, 5), (6, 6))], pairs.schema))
+    assert min(len(t) for t in long) > 2000 and sum(x != y for x, y in zip(*long)) <= 150
+    assert sorted(r.b.n1 for r in lines._links(pairs, texts, 0.8).collect()) == [1, 6]
