@@ -113,12 +113,13 @@ def best_body(attempts: DataFrame, key: str, text: str = "text", rung: str = "ru
 
 def stored_articles(articles: DataFrame, asset: str | None = None, topic: str | None = None, since: int | None = None, until: int | None = None, words: str | None = None, limit: int = 200) -> DataFrame:
     """Articles of a store, newest first, by any of its indexes: asset, topic, time; ``words`` must stand in title or summary."""
+    # tests run in this order: a topic that is made of a text is asked for last, of few rows
     tests: list[Column] = []
-    tests += [F.array_contains("assets", asset)] if asset else []
-    tests += [F.col("topic") == topic] if topic else []
     tests += [F.col("ts") >= since] if since is not None else []
     tests += [F.col("ts") <= until] if until is not None else []
+    tests += [F.array_contains("assets", asset)] if asset else []
     tests += [F.contains(F.lower(F.concat_ws(" ", "title", "summary")), F.lit(words.lower()))] if words else []
+    tests += [F.col("topic") == topic] if topic else []
     return articles.where(reduce(lambda a, b: a & b, tests, F.lit(True))).orderBy(F.desc("ts"), "id").limit(min(limit, 2000))
 
 
@@ -151,15 +152,18 @@ def domestic(key: Column, link: Column, name: Column) -> Column:
 
 def off_profile(folded: Column, key: Column, link: Column, name: Column, most: int = 4) -> Column:
     """map<category, evidence> of a folded text; a domestic source is evidence of its own. Empty: nothing speaks against it."""
-    z = lambda c: F.coalesce(c, F.lit(""))
     home = domestic(key, link, name)
-    entries = []
-    for category, words in OFF_PROFILE.items():
-        hits = F.slice(F.array_compact(F.array(*[F.when(z(folded).rlike(scoring.word_pattern(w)), F.lit(w)) for w in words])), 1, most)
-        if category == "domestic":
-            hits = F.concat(F.when(home, F.array(F.lit("source"))).otherwise(F.array().cast("array<string>")), hits)
-        entries.append(F.struct(F.lit(category).alias("key"), hits.alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
+
+    def evidence(found: Column) -> Column:
+        entries = []
+        for category, words in OFF_PROFILE.items():
+            hits = F.slice(F.array_intersect(F.array(*map(F.lit, words)), found), 1, most)
+            if category == "domestic":
+                hits = F.concat(F.when(home, F.array(F.lit("source"))).otherwise(F.array().cast("array<string>")), hits)
+            entries.append(F.struct(F.lit(category).alias("key"), hits.alias("value")))
+        return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
+
+    return scoring.once(scoring.listed_words(folded, [w for words in OFF_PROFILE.values() for w in words]), evidence)
 
 
 # ---- calendar weeks

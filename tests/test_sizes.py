@@ -119,3 +119,30 @@ def test_no_window_of_a_joined_lexicon_is_broadcast(spark):
     out = postedit.edit(rows, terms, most=1)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.edited for r in out.collect()} == {0: "a واژه here", 1: None}
+
+
+def test_word_searches_find_what_their_patterns_find_one_by_one(spark):
+    """Grouped patterns, listed words and assets against every pattern on its own; a text without any topic is passed over once."""
+    from marketloom.functions import scoring, values
+    from marketloom.operators import office
+
+    words = [*values.IMPACT, *(w for ws in office.OFF_PROFILE.values() for w in ws)]
+    patterns = [*values.TOPICS.values(), *values.ASSETS.values(), values.SPONSORED, values.SPAM, values.SEO, values.CLICKBAIT, values.RISKY, values.NOISE]
+    draw = random.Random(6)
+    bits = [*words, "hacked", "SEC", "eip-12", "S&P 500", "us dollar index", "ounce of gold", "Spot XRP etf", "price forecast 2030", "10 best coins to buy", "xfed", "fedx", "crypto", "PRICE now", "100x", "bankers", "\u0637\u0644\u0627\u0647\u0627", "\u212a"]
+    texts = [draw.choice((" ", "-", "\n", "")).join(draw.choice(bits) for _ in range(draw.choice([1, 2, 5, 9]))) for _ in range(250)] + ["", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, x string").repartition(2)
+    x, low = F.col("x"), F.lower(F.coalesce("x", F.lit("")))
+    one = lambda t, p: F.coalesce(t.rlike(f"(?i){p}"), F.lit(False))
+    first = F.lit("general")
+    for name, p in reversed(values.TOPICS.items()):
+        first = F.when(one(x, p), name).otherwise(first)
+    named = F.array_compact(F.array(*[F.when(one(x, p), F.lit(s)) for s, p in values.ASSETS.items()]))
+    rows = frame.select(
+        F.array(*[one(x, p) for p in patterns]).alias("a"), F.array(*[scoring.matches(x, p) for p in patterns]).alias("b"), first.alias("t"), scoring.topic(x).alias("u"),
+        F.when((F.size(named) == 0) & one(x, r"\bcrypto\b|\bbitcoin\b"), F.array(F.lit("BTC"))).otherwise(named).alias("n"), scoring.assets(x).alias("m"),
+        F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike(scoring.word_pattern(w)), F.lit(w)) for w in words]))).alias("v"), scoring.listed_words(low, words).alias("w"),
+    ).collect()
+    assert all(r.a == r.b and r.t == r.u and r.n == r.m and r.v == r.w for r in rows)
+    assert len({r.t for r in rows}) > 5 and sum(len(r.v) for r in rows) > 250 and len({s for r in rows for s in r.n}) > 4
+    assert len(scoring.alternatives(values.TOPICS["etf"])) == 9 and scoring.by_words(values.TOPICS["etf"]).count(r"\b(?=[") == 1
