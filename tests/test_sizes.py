@@ -146,3 +146,26 @@ def test_word_searches_find_what_their_patterns_find_one_by_one(spark):
     assert all(r.a == r.b and r.t == r.u and r.n == r.m and r.v == r.w for r in rows)
     assert len({r.t for r in rows}) > 5 and sum(len(r.v) for r in rows) > 250 and len({s for r in rows for s in r.n}) > 4
     assert len(scoring.alternatives(values.TOPICS["etf"])) == 9 and scoring.by_words(values.TOPICS["etf"]).count(r"\b(?=[") == 1
+
+
+def test_neighbours_hold_few_cosines_at_once():
+    """A block of queries against many rows: memory follows a slice of the rows; odd vectors are zero."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from marketloom.operators import dense
+
+    odd = pa.array([[3.0, 4.0], None, [1.0], [None, 2.0], [0.0, 0.0]], pa.list_(pa.float64()))
+    assert dense._matrix(odd, 2).tolist() == [[0.6, 0.8], [0, 0], [0, 0], [0, 0], [0, 0]]
+    draw = np.random.default_rng(2)
+    vectors = draw.normal(size=(8192, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8192)), pa.array(vectors.tolist())], ["key", "vector"])
+    block = SimpleNamespace(value=(list(range(2048)), vectors[:2048].tolist()))
+    tracemalloc.start()
+    out = next(dense._against(block, 5, 8)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 2048 * 5 and peak < 60e6
