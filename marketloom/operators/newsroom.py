@@ -39,12 +39,12 @@ def fading(age_hours: Column, half_life: float) -> Column:
     return F.when(age_hours <= 0, 1.0).otherwise(F.greatest(F.lit(0.05), F.pow(F.lit(0.5), age_hours / half_life)))
 
 
-def word_hits(folded: Column, words, tokens: Column | None = None, persian: Column | None = None) -> Column:
+def word_hits(folded: Column, words, tokens: Column | None = None, persian: Column | None = None, spoken: Column | None = None) -> Column:
     """The words of a list that a folded text holds, in the list's order and each once, as ``scoring.word_pattern`` finds them one by one.
 
-    ``tokens`` are the text's distinct Latin tokens and ``persian`` tells that
-    it has letters of the other script, where the caller has made them once for
-    several lists.  Single Latin words are tokens; longer ones are looked for
+    ``tokens`` are the text's distinct Latin tokens, ``persian`` tells that it
+    has letters of the other script and ``spoken`` are its words of that script
+    (``persian_words``), where the caller has made them once for several lists.  Single Latin words are tokens; longer ones are looked for
     only where their first token is there, others only in texts of their script
     and in as few passes as they have words that begin another one.
     """
@@ -52,29 +52,53 @@ def word_hits(folded: Column, words, tokens: Column | None = None, persian: Colu
     persian = has_persian(folded) if persian is None else persian
     none = F.array().cast("array<string>")
     listed = list(dict.fromkeys(text_fold(w) for w in words))
-    single, longer, passes = [], [], []
-    for w in listed:
-        if re.fullmatch("[a-z0-9]+", w):
-            single.append(w)
-        elif _latin(w):
-            longer.append(w)
-        else:
-            place = next((p for p in passes if not any(v.startswith(w) or w.startswith(v) for v in p)), None)
-            if place is None:
-                passes.append([w])
-            else:
-                place.append(w)
+    single = [w for w in listed if re.fullmatch("[a-z0-9]+", w)]
+    longer = [w for w in listed if _latin(w) and w not in single]
     found = [F.array_intersect(tokens, F.array(*map(F.lit, single)))] if single else []
     if longer:
-        first = lambda w: re.findall("[a-z0-9]+", w)[0]
+        first = _first_token
         found.append(F.array_compact(F.array(*[F.when(F.array_contains(tokens, first(w)), F.when(folded.rlike(scoring.word_pattern(w)), F.lit(w))) for w in longer])))
-    ends = rf"(?:$|(?!{scoring.LETTER})|{'|'.join(scoring.ENDINGS)})"
-    found += [F.when(persian, F.regexp_extract_all(folded, F.lit(rf"(?<!{scoring.LETTER})(?=({'|'.join(map(re.escape, p))}){ends})"), F.lit(1))).otherwise(none) for p in passes]
+    others = [w for w in listed if not _latin(w)]
+    if others:
+        found.append(persian_words(folded, others, persian) if spoken is None else F.array_intersect(spoken, F.array(*map(F.lit, others))))
     return F.array_intersect(F.array(*map(F.lit, listed)), F.coalesce(F.concat(*found), none))
 
 
-def latin_tokens(folded: Column) -> Column:
-    return F.array_distinct(F.split(folded, "[^a-z0-9]+"))
+def _first_token(word: str) -> str:
+    return re.findall("[a-z0-9]+", word)[0]
+
+
+def latin_tokens(folded: Column, words=None) -> Column:
+    """The distinct Latin tokens of a folded text; of those alone that the listed words ask for, if any are given."""
+    if words is None:
+        return F.array_distinct(F.split(folded, "[^a-z0-9]+"))
+    listed = sorted({_first_token(w) for w in map(text_fold, words) if _latin(w)})
+    return F.array_intersect(F.split(folded, "[^a-z0-9]+"), F.array(*map(F.lit, listed)).cast("array<string>"))
+
+
+def persian_words(folded: Column, words, persian: Column) -> Column:
+    """The listed words of the other script in a folded text, in as few passes as they have words that begin another one."""
+    passes: list[list[str]] = []
+    for w in dict.fromkeys(w for w in map(text_fold, words) if not _latin(w)):
+        place = next((p for p in passes if not any(v.startswith(w) or w.startswith(v) for v in p)), None)
+        if place is None:
+            passes.append([w])
+        else:
+            place.append(w)
+    none = F.array().cast("array<string>")
+    ends = rf"(?:$|(?!{scoring.LETTER})|{'|'.join(scoring.ENDINGS)})"
+    found = [F.regexp_extract_all(folded, F.lit(rf"(?<!{scoring.LETTER})(?=({'|'.join(map(re.escape, p))}){ends})"), F.lit(1)) for p in passes]
+    return F.when(persian, F.array_distinct(F.concat(*found))).otherwise(none) if found else none
+
+
+#: Longest stretch without letters of the other script that stays whole beside them; no listed word has one half as long.
+APART = 40
+
+
+def near_persian(folded: Column) -> Column:
+    """A text without the inner part of long stretches that hold no letter of the other script: words of it are found as in the whole text."""
+    other, half = "[^\u0600-\u06FF]", APART // 2
+    return F.regexp_replace(folded, f"({other}{{{half}}}){other}+({other}{{{half}}})", "$1\n$2")
 
 
 def has_persian(folded: Column) -> Column:
@@ -154,15 +178,21 @@ def assessed(rows: DataFrame, lexicon: dict[str, dict], now: float, least: float
         F.concat_ws(" ", told(title_fa, F.col("title")), told(summary_fa, F.col("summary"))).alias("_claims"),
         text.fold(F.concat_ws(" ", z(title_fa), z(F.col("title")), z(summary_fa), z(F.col("summary")))).alias("_folded"),
     )
-    base = base.withColumn("_tokens", latin_tokens(F.col("_folded"))).withColumn("_persian", has_persian(F.col("_folded")))
-    hits = lambda words: word_hits(F.col("_folded"), words, F.col("_tokens"), F.col("_persian"))
+    # every text is gone through once for the words of all lists together
+    off_profile = [w for ws in office.OFF_PROFILE.values() for w in ws]
+    every = [w for ws in (*[v["words"] for v in lexicon.values()], off_profile, scoring.IMPACT, VIRAL, BUZZ, TECH) for w in ws]
+    short = all(len(gap) < APART // 2 for w in map(text_fold, every) if not _latin(w) for gap in re.findall("[^\u0600-\u06FF]+", w))
+    base = base.withColumn("_tokens", latin_tokens(F.col("_folded"), every)).withColumn("_persian", has_persian(F.col("_folded")))
+    base = base.withColumn("_near", F.when(F.col("_persian"), near_persian(F.col("_folded")) if short else F.col("_folded")))
+    base = base.withColumn("_spoken", persian_words(F.col("_near"), every, F.col("_persian"))).drop("_near")
+    hits = lambda words: word_hits(F.col("_folded"), words, F.col("_tokens"), F.col("_persian"), F.col("_spoken"))
     numbers = F.slice(F.array_distinct(F.regexp_extract_all(text.ascii_digits(F.col("_claims")), F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))), 1, 12)
     rounds = F.when(F.col("_persian"), F.regexp_count(F.col("_folded"), F.lit(ROUND))).otherwise(0)
     base = desk_evidence(base, lexicon, hits)
     seen = base.select(
-        *[c for c in base.columns if c not in ("_claims", "_folded", "_tokens", "_persian", "link", "source", "source_name")],
+        *[c for c in base.columns if c not in ("_claims", "_folded", "_tokens", "_persian", "_spoken", "link", "source", "source_name")],
         numbers.alias("numbers"),
-        (office.domestic(F.col("source"), F.col("link"), F.col("source_name")) | (F.size(hits([w for ws in office.OFF_PROFILE.values() for w in ws])) > 0)).alias("off"),
+        (office.domestic(F.col("source"), F.col("link"), F.col("source_name")) | (F.size(hits(off_profile)) > 0)).alias("off"),
         F.size(hits(scoring.IMPACT)).alias("impacts"),
         hits(VIRAL).alias("drama"),
         F.size(hits(BUZZ)).alias("buzzing"),
