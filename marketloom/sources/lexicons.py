@@ -29,15 +29,23 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     """(title, text): article pages of a landed XML dump, packed or not; other namespaces, redirects and empty pages are skipped.
 
     The file is read as text that ends at ``</page>``, which Spark splits among
-    tasks, in a bz2 file too; each page is then parsed on its own.
+    tasks, in a bz2 file too; each page is then parsed on its own, but for
+    those whose head names another namespace.
     """
     cut = spark.read.option("lineSep", "</page>").text(path).where(F.contains("value", F.lit("<page>")))
     page = F.concat(F.lit("<page>"), F.substring_index("value", "<page>", -1), F.lit("</page>"))
-    rows = cut.select(F.from_xml(page, PAGE, {"rowTag": "page"}).alias("p")).select("p.*")
+    # a generator keeps what it makes: a page is parsed once, not once a condition
+    rows = cut.select(page.alias("page")).where(~elsewhere(F.col("page"))).select(F.explode(F.array(F.from_xml("page", PAGE, {"rowTag": "page"}))).alias("p")).select("p.*")
     text = F.col("revision.text")
     return rows.where((F.trim("ns") == "0") & (F.length(F.coalesce(text, F.lit(""))) > 0) & ~F.upper(F.ltrim(text)).startswith("#REDIRECT")).select(F.coalesce("title", F.lit("")).alias("title"), text.alias("text"))
 
 
+def elsewhere(page: Column) -> Column:
+    """Whether a page surely is of another namespace than that of articles, by its one ``ns`` before the revision; comments and CDATA leave it open."""
+    head = F.substring_index(page, "<revision", 1)
+    return ~F.contains(head, F.lit("<!")) & (F.size(F.split(head, "<ns")) == 2) & head.rlike(r"<ns>\s*-?[1-9][0-9]*\s*</ns>")
+
+
 def without_markup(text: Column, depth: int = 8) -> Column:
     """A wiki text without comments, references, tables, templates (nested up to ``depth``), links' targets and tags."""
     for pattern, by in (*MARKUP, *[(TEMPLATE, " ")] * depth, *LINKS):
