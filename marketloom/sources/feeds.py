@@ -34,11 +34,11 @@ def inner_div(html: Column, name: str) -> Column:
 
 
 def plain(html: Column) -> Column:
-    """Without tags, entities resolved, blanks collapsed."""
+    """Without tags, entities resolved, HTML's blanks collapsed."""
     out = F.regexp_replace(html, r"<[^>]+>", " ")
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(out, r"[ \t\n\f\r]+", " "))
 
 
 def age_hours(iso: Column, as_of: Column) -> Column:
@@ -60,30 +60,34 @@ def atom_entries(pages: DataFrame, key: str, xml: str, as_of: Column) -> DataFra
     return rows.where("link <> ''")
 
 
-def channel_posts(pages: DataFrame, key: str, html: str, as_of: Column) -> DataFrame:
+def channel_posts(pages: DataFrame, key: str, html: str, as_of: Column, viewed: bool = False) -> DataFrame:
     """(key, pos, post_id, text, title, media, views, time, age_hours, views_per_hour, url) of a channel page, newest first.
 
-    Posts begin at their data-post attribute.  A quoted message is cut out
-    before the body is looked for; posts with neither text nor media are
-    service messages and left out.
+    Posts begin at the tag with their data-post attribute, and marks count in
+    tags only, not in what is said.  A quoted message is cut out before the
+    body is looked for; posts with neither text nor media are service messages
+    and left out, but with ``viewed`` those that have views are kept.  Pages of
+    equal keys are pages of their own.
     """
-    blocks = F.regexp_extract_all(html, F.lit(r'(?s)(data-post="[^"]+".*?)(?=data-post="|$)'), 1)
-    rows = pages.select(key, F.posexplode(blocks).alias("at", "block"))
+    tag = r'<[^<>]*\bdata-post="'
+    blocks = F.regexp_extract_all(html, F.lit(rf'(?s)({tag}[^"]+".*?)(?={tag}|$)'), 1)
+    rows = pages.withColumn("_page", F.monotonically_increasing_id()).select(key, "_page", F.posexplode(blocks).alias("at", "block"))
     quoted = inner_div(F.col("block"), REPLY)
     rows = rows.withColumn("own", F.when(quoted != "", F.replace("block", quoted, F.lit(""))).otherwise(F.col("block")))
-    media = F.coalesce(*[F.when(F.contains("own", F.lit(f"tgme_widget_message_{m}")), F.lit(m)) for m in MEDIA])
-    post, time = F.regexp_extract("block", r'data-post="([^"]+)"', 1), F.regexp_extract("own", r'<time[^>]*datetime="([^"]+)"', 1)
-    views = parse_count(F.nullif(F.regexp_extract("own", rf'{VIEWS}"[^>]*>([^<]+)<', 1), F.lit("")))
-    rows = rows.select(key, "at", post.alias("post_id"), plain(inner_div(F.col("own"), TEXT)).alias("text"), media.alias("media"), views.alias("views"), time.alias("time"), age_hours(time, as_of).alias("age_hours"))
-    rows = rows.where("contains(post_id, '/') and (text <> '' or media is not null)")
-    order = F.row_number().over(_page(key)) - 1
+    media = F.coalesce(*[F.when(F.col("own").rlike(f"<[^<>]*tgme_widget_message_{m}"), F.lit(m)) for m in MEDIA])
+    post, time = F.regexp_extract("block", r'\bdata-post="([^"]+)"', 1), F.regexp_extract("own", r'<time[^>]*datetime="([^"]+)"', 1)
+    views = parse_count(F.nullif(F.regexp_extract("own", rf'<[^<>]*{VIEWS}"[^>]*>([^<]+)<', 1), F.lit("")))
+    rows = rows.select(key, "_page", "at", post.alias("post_id"), plain(inner_div(F.col("own"), TEXT)).alias("text"), media.alias("media"), views.alias("views"), time.alias("time"), age_hours(time, as_of).alias("age_hours"))
+    said = (F.col("text") != "") | F.col("media").isNotNull()
+    rows = rows.where(F.contains("post_id", F.lit("/")) & (said | F.col("views").isNotNull() if viewed else said))
+    order = F.row_number().over(_posts()) - 1
     return rows.select(key, order.alias("pos"), "post_id", "text", title_of(F.col("text")).alias("title"), "media", "views", "time", "age_hours", per_hour(F.col("views"), F.col("age_hours")).alias("views_per_hour"), F.concat(F.lit("https://t.me/"), "post_id").alias("url"))
 
 
-def _page(key: str):
+def _posts():
     from pyspark.sql import Window
 
-    return Window.partitionBy(key).orderBy(F.desc("at"))  # the posts of one page
+    return Window.partitionBy("_page").orderBy(F.desc("at"))  # the posts of one page
 
 
 def _walk(html: str | None) -> list[dict]:
